@@ -132,7 +132,9 @@ class Transducer:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         missing = []
-        for c in chunks - young.keys():
+        for c in chunks:
+            if c in young:
+                continue
             if (known := old.get(c)) is not None:
                 young[c] = known
             else:
@@ -229,7 +231,7 @@ class Transducer:
         rest = np.setdiff1d(np.arange(len(keys)), chosen)
         self.m2 = M2
         while len(np.unique(slot := ((keys[rest] * self.m2) >> np.uint64(44)).astype(np.int64))) < len(rest):
-            self.m2 = self.m2 * M1 | np.uint64(1)
+            self.m2 = np.uint64((int(self.m2) * int(M1) | 1) & 0xFFFFFFFFFFFFFFFF)
         self.keys2[slot], self.values2[slot] = keys[rest], values[rest]
 
     def stream(self, pieces: Iterable[str], ended: bool) -> Iterator[int]:
@@ -329,7 +331,7 @@ class Transducer:
 
     def settled(self, text: str) -> tuple[str, str]:
         """What can be encoded now, and the pre-tokens at the end that later text may still change."""
-        starts = [m.start() for m in self.pattern.finditer(text, max(0, len(text) - 4 * BLOCK))][-4:]
+        starts = [m.start() for m in self.pattern.finditer(text)][-4:]
         cut = starts[0] if len(starts) == 4 else 0
         return text[:cut], text[cut:]
 
