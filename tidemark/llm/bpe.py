@@ -321,19 +321,20 @@ class Transducer:
                 continue
             carry += self.normal(block)
             if seen == size or self.drops_space and block[-1].isspace():
-                done, carry = carry, ""
+                done, carry = self.pattern.findall(carry), ""
             else:
                 done, carry = self.settled(carry)
                 if not done and len(carry) >= 8 * BLOCK:  # one pre-token so far
                     yield from self.streamed(carry, text, seen)
                     return
-            yield self.known(done)
+            yield self.words(done)
 
-    def settled(self, text: str) -> tuple[str, str]:
-        """What can be encoded now, and the pre-tokens at the end that later text may still change."""
-        starts = [m.start() for m in self.pattern.finditer(text)][-4:]
-        cut = starts[0] if len(starts) == 4 else 0
-        return text[:cut], text[cut:]
+    def settled(self, text: str) -> tuple[list[str], str]:
+        """The pre-tokens that are certain now, and the text of those that later text may still change."""
+        spans = [m.span() for m in self.pattern.finditer(text)]
+        if len(spans) < 5:
+            return [], text
+        return [text[i:j] for i, j in spans[:-4]], text[spans[-4][0] :]
 
     def streamed(self, carry: str, text: str, seen: int) -> Iterator[bytes]:
         """The rest of a text from a pre-token of many blocks on: symbol by symbol until that ends."""
@@ -379,7 +380,10 @@ class Transducer:
 
     def known(self, normal: str) -> bytes:
         """Ids of a text in normal form."""
-        words = self.pattern.findall(normal)
+        return self.words(self.pattern.findall(normal))
+
+    def words(self, words: list[str]) -> bytes:
+        """Ids of pre-tokens in normal form."""
         if self.drops_space:
             return b"".join(self.merge_all(words))
         self.fill(set(words))
