@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprint, langid, packing, sharding
+from tidemark.llm import bpe, fingerprint, langid, packing, sharding, tokencount, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,5 +45,13 @@ def op8_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op4_canonical_digest, op5_best_fit_packing, op6_rank_profiles, op7_external_shuffle, op8_streaming_bpe)}
+def op9_sorted_list_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.document_token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), 49407)
+
+
+QUERIES = {f.__name__: f for f in (op4_canonical_digest, op5_best_fit_packing, op6_rank_profiles, op7_external_shuffle, op8_streaming_bpe, op9_sorted_list_topk, op10_separator_scan)}
 ORACLE_SQL: dict[str, str] = {}
