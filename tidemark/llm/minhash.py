@@ -102,3 +102,154 @@ def band_hashes(owner: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.n
     for i in range(rows):
         total = mixed(total + GAMMA + grid[:, i])
     return total.view(np.int64)
+
+
+SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+#: Nodes whose texts are fetched by a join that is sent to every executor, at most.
+SEND = 500_000
+
+
+def node_key(words: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+
+
+def signed(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, length: int = LENGTH) -> DataFrame:
+    """doc_id, the key of its words, its number of distinct shingles and its band hashes."""
+
+    def make():
+        def work(cols: dict) -> dict:
+            out: dict = {n: [] for n in SIGNED.names}
+            done: dict[bytes, tuple] = {}  # copies in the same batch are signed once
+            for doc, text in zip(cols["doc_id"], cols["text"]):
+                words = words_of(text)
+                key = node_key(words)
+                if key not in done:
+                    keys, counts = shingles(words, width)
+                    done[key] = (len(keys), band_hashes(signature(keys, 1 + np.log(counts), length), bands, rows).tolist() if len(keys) else [])
+                for n, v in zip(SIGNED.names, (doc, key, *done[key])):
+                    out[n].append(v)
+            return out
+
+        return work
+
+    return map_rows(docs.select("doc_id", "text"), make, SIGNED)
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
+    """node, size, grams of the nodes in `wanted` (node, key, rep): the texts of their first documents, shingled."""
+    none = F.lit(-(2**63))
+    wanted = wanted.select("node", F.col("key").alias("node_key"), F.coalesce("rep", none).alias("id"))
+    few = wanted.count() <= SEND
+    rows = docs.select(F.coalesce("doc_id", none).alias("id"), "text").join(F.broadcast(wanted) if few else wanted, "id").drop("id")
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for batch in batches:
+            node, grams = [], []
+            for n, key, text in zip(*(batch.column(c).to_pylist() for c in ("node", "node_key", "text"))):
+                words = words_of(text)
+                if node_key(words) == key:
+                    node.append(n)
+                    grams.append(shingles(words, width)[0].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(list(map(len, grams)), pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=schema.names)
+
+    return rows.mapInArrow(run, schema).dropDuplicates(["node"])
+
+
+def alike(common: Column, one: Column, other: Column, tenths: int) -> Column:
+    """common / (one + other - common) >= tenths / 10, in integers."""
+    return common * (10 + tenths) >= (one + other) * tenths
+
+
+def verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar enough."""
+    left = sets.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("grams").alias("grams_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("grams").alias("grams_b"))
+    joined = pairs.join(left, "a").join(right, "b")
+    return joined.where(alike(F.size(F.array_intersect("grams_a", "grams_b")), F.col("size_a"), F.col("size_b"), tenths)).select("a", "b")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root of every node that an edge (a, b) names: alternating large and small stars."""
+    edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    state = _state(edges)
+    while True:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(edges.join(least, "a").select("a", F.col("m").alias("b")))
+        large = large.where("a <> b").distinct()
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
+        edges = materialise(small.where("a <> b").distinct(), "edges")
+        if (now := _state(edges)) == state:
+            break
+        state = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def prefix_pairs(rest: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+    """Pairs of nodes of different classes that can be similar enough: an exact prefix filter.
+
+    rest: node, class. Shingles are ordered from rare to frequent; two sets of the threshold must share one
+    within the first places of both, and what follows that place must still suffice. The smaller set needs
+    fewer places than the larger, so what is common to very many documents comes into play for few.
+    """
+    grams = rest.join(sets, "node").select("node", "class", "size", F.explode("grams").alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
+    sorted_grams = F.array_sort(F.collect_list(F.struct("n", "gram", (F.col("low") < F.col("high")).alias("mixed"))))
+    placed = grams.join(often, "gram").groupBy("node", "class", "size").agg(sorted_grams.alias("all"))
+    size = F.col("size").cast("long")
+    probe = size - F.floor((size * tenths + 9) / 10) + 1
+    index = size - F.floor((size * 2 * tenths + 9 + tenths) / (10 + tenths)) + 1
+    entries = placed.select("node", "class", "size", index.alias("index"), F.posexplode(F.slice("all", F.lit(1), probe.cast("int"))).alias("at", "g")).where("g.mixed")
+    entries = materialise(entries.select("node", "class", "size", "index", "at", F.col("g.gram").alias("gram")), "prefixes")
+    x, y = entries.where(F.col("at") < F.col("index")).alias("x"), entries.alias("y")
+    order = (F.col("x.size") < F.col("y.size")) | (F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node"))
+    left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") != F.col("y.class")) & order & alike(left, F.col("x.size"), F.col("y.size"), tenths))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id and class_id (the least doc_id of its class) of every row."""
+    tenths = round(threshold * 10)
+    signs = materialise(signed(docs, width, bands, rows), "signatures")
+    nodes = signs.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    entries = nodes.select("node", "size", F.explode("bands").alias("band"))
+    hubs = entries.groupBy("band").agg(
+        F.count("*").alias("n"), F.min("node").alias("low"), F.min_by("size", "node").alias("low_size"), F.max("node").alias("high"), F.max_by("size", "node").alias("high_size")
+    ).where("n > 1")
+    members = materialise(entries.join(hubs.drop("n"), "band"), "members")
+    fits = lambda other: F.least("size", other) * 10 >= F.greatest("size", other) * tenths
+    low = members.where((F.col("node") != F.col("low")) & fits("low_size")).select(F.col("low").alias("a"), F.col("node").alias("b"))
+    high = members.where((F.col("node") != F.col("high")) & (F.col("node") != F.col("low")) & fits("high_size")).select(F.col("node").alias("a"), F.col("high").alias("b"))
+    pairs = low.union(high).distinct()
+    sets = materialise(shingle_sets(docs, nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "key", "rep"), width), "sets")
+    edges = materialise(verified(pairs, sets, tenths), "links")
+    classes = materialise(components(edges), "classes")
+    known = members.select("band", "node").join(classes, "node", "left").select("band", "node", F.coalesce("root", "node").alias("class"))
+    mixed = known.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band")
+    rest = materialise(known.join(mixed, "band", "left_semi").select("node", "class").distinct(), "rest")
+    more = materialise(verified(prefix_pairs(rest, sets, tenths), sets, tenths), "links")
+    roots = classes.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if not more.isEmpty():
+        classes = materialise(components(roots.union(more)), "classes")
+    named = nodes.select("node", "key", "rep").join(classes, "node", "left").select("key", "rep", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
+    return signs.select("doc_id", "key").join(named.join(least, "root").select("key", "class_id"), "key").select("doc_id", "class_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each class: the least doc_id, of repeated ids one row. Null ids stay as they are."""
+    classes = near_duplicates(docs)
+    gone = materialise(classes.where("doc_id <> class_id").select("doc_id").distinct(), "gone")
+    left = docs.join(F.broadcast(gone) if gone.count() <= SEND else gone, "doc_id", "left_anti")
+    again = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return left
+    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprint, langid, packing, pii, sharding, tokencount, topk, wrappers
+from tidemark.llm import bpe, fingerprint, langid, minhash, packing, pii, sharding, tokencount, topk, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -61,5 +65,5 @@ def op10_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.document_token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), 49407)
 
 
-QUERIES = {f.__name__: f for f in (op2_feistel_pseudonyms, op3_inferred_wrappers, op4_canonical_digest, op5_best_fit_packing, op6_rank_profiles, op7_external_shuffle, op8_streaming_bpe, op9_sorted_list_topk, op10_separator_scan)}
+QUERIES = {f.__name__: f for f in (op1_prob_minhash, op2_feistel_pseudonyms, op3_inferred_wrappers, op4_canonical_digest, op5_best_fit_packing, op6_rank_profiles, op7_external_shuffle, op8_streaming_bpe, op9_sorted_list_topk, op10_separator_scan)}
 ORACLE_SQL: dict[str, str] = {}

@@ -129,7 +129,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, block: int = BLOCK, q
     left = rows.withColumn("b", cell(F.col("row"), blocks, 1)).withColumn("q", every_query_block)
     right = rows.where(F.col("vec_id") % every == 0).withColumn("q", cell(F.col("row"), query_blocks, 2)).withColumn("b", every_block)
 
-    def run(_, candidates: pa.Table, queries: pa.Table) -> pa.Table:
+    def run(_, candidates, queries):
         out: dict[str, list] = {n: [] for n in OUT.names}
         for dims in sorted(set(sizes(queries)) & set(sizes(candidates))):
             c_rows, c_ids, c = matrix(candidates, dims)

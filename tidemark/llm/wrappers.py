@@ -309,12 +309,11 @@ def infer(pages: DataFrame) -> DataFrame:
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([part] * len(found), pa.int64()), pa.array([json.dumps(w) for w in found.values()], pa.string())], names=PARTIAL.names)
 
-    def more(key, batches):
+    def more(key, table):
         w = None
-        for batch in batches:
-            for x in map(json.loads, batch.column("wrapper").to_pylist()):
-                w = join(w, x) if w else x
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.string()), pa.array([0], pa.int64()), pa.array([json.dumps(w)], pa.string())], names=PARTIAL.names)
+        for x in map(json.loads, table.column("wrapper").to_pylist()):
+            w = join(w, x) if w else x
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "part": pa.array([0], pa.int64()), "wrapper": pa.array([json.dumps(w)], pa.string())})
 
     partial = pages.select(host().alias("host"), "html").mapInArrow(start, PARTIAL)
     halved = partial.groupBy("host", F.pmod("part", F.lit(FIRST_JOIN)).alias("some")).applyInArrow(more, PARTIAL)
