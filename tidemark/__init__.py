@@ -1,0 +1 @@
+"""Event-detection analytics and corpus operators on Spark DataFrames."""
