@@ -62,7 +62,9 @@ def zeros(n: Column) -> Column:
 def tiled(x: Column, start: Column, n: Column) -> Column:
     """n samples of the looped signal from `start` on."""
     size = F.size(x)
-    return F.when((size > 0) & (n > 0), F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.element_at(x, (F.pmod(i + start, size) + 1).cast("int")))).otherwise(zeros(n))
+    first = F.pmod(start, F.greatest(size, F.lit(1)))
+    times = F.ceil((first + n) / F.greatest(size, F.lit(1))).cast("int")
+    return F.when((size > 0) & (n > 0), F.slice(F.flatten(F.array_repeat(x, times)), (first + 1).cast("int"), n.cast("int"))).otherwise(zeros(n))
 
 
 def rolled(x: Column, by: Column) -> Column:

@@ -62,11 +62,6 @@ def selected(target: float) -> str:
  ORDER BY CASE WHEN det.fa_per_hour <= {target} THEN 0 ELSE 1 END, CASE WHEN det.fa_per_hour <= {target} THEN det.miss_rate ELSE det.fa_per_hour END, CASE WHEN det.fa_per_hour <= {target} THEN -step ELSE 0 END, det.miss_rate, step LIMIT 1)"""
 
 
-def windowed(column: str) -> str:
-    return f"(SELECT stream_id, hop, list({column}) OVER (PARTITION BY stream_id ORDER BY hop ROWS 15 PRECEDING) AS w FROM stream)"
-
-
-DOT = "list_dot_product({0}, {1})"
 ORACLES = {
     "q01_clip_metrics": f"""WITH {HOPS}, s AS (SELECT count(*) FILTER (kind = 'positive')::DOUBLE p, count(*) FILTER (kind = 'positive' AND score >= 0.5::DOUBLE)::DOUBLE tp,
  count(*) FILTER (kind <> 'positive')::DOUBLE q, count(*) FILTER (kind <> 'positive' AND score >= 0.5::DOUBLE)::DOUBLE fp, count(*) FILTER (kind = 'near_miss')::DOUBLE m,
@@ -140,9 +135,9 @@ ORACLES = {
  SELECT l.label, l.vec_id, r.vec_id AS partner, round(l.x[1] * 0.7::DOUBLE + r.x[1] * (1 - 0.7::DOUBLE), 6) AS x0, round(l.x[64] * 0.7::DOUBLE + r.x[64] * (1 - 0.7::DOUBLE), 6) AS x63 FROM e l JOIN e r ON l.label = r.label AND l.a = r.b""",
     "q28_schedules": """SELECT i AS step, round(CASE WHEN i < 100 THEN 0.001::DOUBLE * i / 100 WHEN i < 400 THEN 0.001::DOUBLE ELSE 0.001::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * least(1, (i - 400) / 600.0::DOUBLE))) END, 9) AS rate,
  round(1 + 49 * i / 999.0::DOUBLE, 6) AS weight FROM range(1000) t(i)""",
-    "q29_snr_gain": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), j AS (SELECT a.vec_id, a.x, b.x AS n, list_dot_product(a.x, a.x) / 64 AS px, list_dot_product(b.x, b.x) / 64 AS pn FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+    "q29_snr_gain": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), j AS (SELECT a.vec_id, a.x, b.x AS n, list_sum(list_transform(a.x, lambda v: v * v)) / 64 AS px, list_sum(list_transform(b.x, lambda v: v * v)) / 64 AS pn FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
  g AS (SELECT *, sqrt(px / (pn * 10.0::DOUBLE)) AS gain FROM j) SELECT vec_id, round(gain, 6) AS gain, round(sqrt(px), 6) AS rms, round(list_max(list_transform(x, lambda v: abs(v))), 6) AS peak, round(x[1] + gain * n[1], 6) AS first FROM g""",
-    "q30_slerp": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), j AS (SELECT a.vec_id, a.x, b.x AS y, list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) AS c FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+    "q30_slerp": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), j AS (SELECT a.vec_id, a.x, b.x AS y, list_sum(list_transform(list_zip(a.x, b.x), lambda v: v[1] * v[2])) / (sqrt(list_sum(list_transform(a.x, lambda v: v * v))) * sqrt(list_sum(list_transform(b.x, lambda v: v * v)))) AS c FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
  w AS (SELECT *, acos(greatest(-1, least(1, c))) AS t FROM j), f AS (SELECT *, CASE WHEN abs(c) > 0.9995 THEN 0.75::DOUBLE ELSE sin(0.75::DOUBLE * t) / sin(t) END AS a, CASE WHEN abs(c) > 0.9995 THEN 0.25::DOUBLE ELSE sin(0.25::DOUBLE * t) / sin(t) END AS b FROM w)
  SELECT vec_id, round(x[1] * a + y[1] * b, 5) AS z0, round(x[64] * a + y[64] * b, 5) AS z63 FROM f""",
     "q31_reblock": f"""WITH {STREAM} SELECT stream_id, hop // 16 AS block, round(arg_min(emb[1], hop), 6) AS first, round(arg_max(emb[1], hop), 6) AS last FROM stream GROUP BY ALL HAVING count(*) = 16""",

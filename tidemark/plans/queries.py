@@ -226,8 +226,9 @@ def q29_snr_gain(spark, d):
     noise = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("noise"))
     j = e.join(noise, "vec_id")
     g = signal.snr_gain(F.col("x"), F.col("noise"), F.lit(10.0))
-    mixed = signal.added(F.col("x"), signal.scaled(F.col("noise"), F.col("gain")))
-    return j.withColumn("gain", g).select("vec_id", F.round("gain", 6).alias("gain"), F.round(signal.rms(F.col("x")), 6).alias("rms"), F.round(signal.peak(F.col("x")), 6).alias("peak"), F.round(mixed[0], 6).alias("first"))
+    mixed = signal.added(F.col("x"), signal.scaled(F.col("noise"), F.col("factor")))
+    # not named as the rounded column: in a lambda that name would mean the rounded one
+    return j.withColumn("factor", g).select("vec_id", F.round("factor", 6).alias("gain"), F.round(signal.rms(F.col("x")), 6).alias("rms"), F.round(signal.peak(F.col("x")), 6).alias("peak"), F.round(mixed[0], 6).alias("first"))
 
 
 def q30_slerp(spark, d):
