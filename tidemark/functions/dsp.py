@@ -21,8 +21,9 @@ def per_row(df: DataFrame, column: str, out: str, kind: T.DataType, make: Callab
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            values = [None if r[column] is None else make(np.asarray(r[column], np.float64), r) for r in rows]
+            samples = batch.column(column)
+            rows = batch.drop_columns([column]).to_pylist() if batch.num_columns > 1 else [{}] * batch.num_rows
+            values = [make(np.nan_to_num(samples[i].values.to_numpy(zero_copy_only=False).astype(np.float64)), r) if samples[i].is_valid else None for i, r in enumerate(rows)]
             table = pa.array(values, pa.list_(pa.list_(pa.float64())) if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType) else pa.list_(pa.float64()) if isinstance(kind, T.ArrayType) else pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, table], names=[*batch.schema.names, out])
 

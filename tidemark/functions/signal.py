@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once: what a lambda closes over is computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
@@ -34,7 +41,7 @@ def to_int16(x: Column) -> Column:
 
 def peak_int16(x: Column) -> Column:
     scale = F.lit(32767.0) / F.greatest(F.lit(0.01), peak(x))
-    return F.transform(x, lambda v: F.greatest(F.lit(-32767.0), F.least(F.lit(32767.0), v * scale)).cast("smallint"))
+    return let(scale, lambda k: F.transform(x, lambda v: F.greatest(F.lit(-32767.0), F.least(F.lit(32767.0), v * k)).cast("smallint")))
 
 
 def scaled(x: Column, gain: Column) -> Column:
@@ -102,7 +109,7 @@ def frames(x: Column, n: int) -> Column:
 def floored(bands: Column, depth: float = 8.0) -> Column:
     """Values no more than `depth` below the greatest of all frames."""
     low = F.array_max(F.transform(bands, lambda r: F.array_max(r))) - depth
-    return F.transform(bands, lambda r: F.transform(r, lambda v: F.greatest(v, low)))
+    return let(low, lambda least: F.transform(bands, lambda r: F.transform(r, lambda v: F.greatest(v, least))))
 
 
 def mel_windows(bands: Column, width: int = 76, stride: int = 8) -> Column:
@@ -123,9 +130,13 @@ def slerp(x: Column, y: Column, t: Column, straight: float = 0.9995) -> Column:
     """Spherical interpolation; straight where the directions nearly agree or oppose, or one is null."""
     norms = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
     cosine = F.when(norms > 0, dot(x, y) / norms).otherwise(1.0)
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
-    curved = F.zip_with(x, y, lambda a, b: (a * F.sin((1 - t) * angle) + b * F.sin(t * angle)) / F.sin(angle))
-    return F.when(F.abs(cosine) > straight, blended(y, x, t)).otherwise(curved)
+
+    def weights(c: Column) -> Column:
+        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
+        bent = F.struct((F.sin((1 - t) * angle) / F.sin(angle)).alias("x"), (F.sin(t * angle) / F.sin(angle)).alias("y"))
+        return F.when(F.abs(c) > straight, F.struct((1 - t).cast("double").alias("x"), t.cast("double").alias("y"))).otherwise(bent)
+
+    return let(let(cosine, weights), lambda w: F.zip_with(x, y, lambda a, b: a * w["x"] + b * w["y"]))
 
 
 def sigmoid(z: Column) -> Column:

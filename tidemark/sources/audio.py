@@ -53,7 +53,7 @@ def scan_wav(spark: SparkSession, *folders: str, mean: bool = False, rate: int |
                     own, x = decode(raw, mean, rate)
                     rates.append(own), samples.append(x), problems.append(None)
                 except (wave.Error, EOFError, ValueError) as e:
-                    rates.append(None), samples.append(None), problems.append(str(e))
+                    rates.append(None), samples.append(None), problems.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("name"), pa.array(rates, pa.int32()), pa.array(samples, pa.list_(pa.float32())), pa.array(problems, pa.string())], names=["path", "name", "sample_rate", "samples", "problem"])
 
     return files.select("path", "name", "content").mapInArrow(run, SCHEMA)
