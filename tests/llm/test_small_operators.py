@@ -1,0 +1,168 @@
+import datetime
+import zlib
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from tidemark.llm import fingerprint, langid, packing, pii, sharding, tokencount, topk
+from tidemark.llm.queries import tokenizer_path
+
+DOCS = [(1, None), (2, ""), (3, "One two three four five six."), (4, "ONE  two three\nfour five six."), (5, "12 34 !!"), (None, "null id here"), (7, "many words " * 5000), (7, "many words " * 5000)]
+
+
+@pytest.fixture
+def docs(spark):
+    return spark.createDataFrame([(k, t, "x") for k, t in DOCS], "doc_id long, text string, fingerprint string").repartition(3, "text")
+
+
+def test_edited_text():
+    assert fingerprint.edited_text("abcde", "XYZ") == "abcXY"
+    assert fingerprint.edited_text("abcdef", "X") == "abcX"
+    assert fingerprint.edited_text("", "X") == ""
+
+
+def test_against_next_is_plain_python(spark, docs):
+    got = {r.doc_id: r for r in fingerprint.compared(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
+    order = [7, 5, 4, 3, 2, 1]
+    texts = {k: t or "" for k, t in DOCS}
+    for i, k in enumerate(order):
+        edited = fingerprint.edited_text(texts[k], texts[order[(i + 1) % 6]])
+        same = fingerprint.canonical(edited) == fingerprint.canonical(texts[k])
+        assert (got[k].n_chars, got[k].near_edited) == (len(texts[k]), float(same))
+    assert got[4].near_next == 1.0 and got[3].fingerprint == got[4].fingerprint and got[5].near_next == 0.0
+    assert fingerprint.compared(docs).count() == len(DOCS)
+    assert fingerprint.compared(docs.limit(0)).count() == 0
+
+
+def test_colliding_digests_are_told_apart(spark):
+    rows = [(i, f"text {i % 40}") for i in range(80)]
+    got = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), bits=4).collect()
+    assert len({r.fingerprint for r in got}) == 40
+    by = {r.doc_id: r.fingerprint for r in got}
+    assert all(by[i] == by[i + 40] for i in range(40))
+
+
+def test_open_bins_close_the_fullest_first():
+    bins = packing.OpenBins(10, 2)
+    assert [bins.place(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
+    bins = packing.OpenBins(10, 2)
+    assert [bins.place(n) for n in (6, 7, 8, 3, 4)] == [(0, 0), (1, 0), (2, 0), (0, 6), (3, 0)]  # bin 1 closes for the third piece, bin 0 for the fifth
+
+
+def test_packing(spark, docs):
+    got = packing.pack_documents(docs, tokenizer_path(), ids=True).collect()
+    library = Tokenizer.from_file(tokenizer_path())
+    assert sorted(r.length for r in got if r.doc_id in (1, 2)) == [1, 1]
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append(r)
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length
+    for rows in by.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 4096
+    whole = library.encode(DOCS[2][1], add_special_tokens=False).ids + [1]
+    assert next(list(r.ids) for r in got if r.doc_id == 3) == whole
+    assert sum(r.length for r in got if r.doc_id == 7) == 2 * (10_000 + 1)
+    assert packing.pack_documents(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_languages(spark):
+    train = spark.createDataFrame([("the cat and the dog " * 5, "en"), ("der Hund und die Katze " * 5, "de"), (None, "en"), ("x", None)], "text string, lang string")
+    profiles = langid.train(train)
+    rows = [(1, "the dog and the cat"), (2, "die Katze und der Hund"), (3, None), (4, ""), (5, "123 !?"), (6, "the dog and " * 200_000)]
+    got = langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), profiles).collect()
+    assert [r.lang_pred for r in got] == ["en", "de", "und", "und", "und", "en"]
+    assert all(0 <= r.score <= 1 for r in got)
+    assert langid.Judge({}).predict("text") == ("und", 0.0)
+    assert langid.train(train.limit(0)) == {}
+
+
+def test_gram_counts_in_blocks(monkeypatch):
+    text = "Abc déf, ghi jkl mno " * 9
+    whole = langid.gram_counts(text)
+    monkeypatch.setattr(langid, "BLOCK", 21)
+    blocks = dict(zip(*(x.tolist() for x in langid.gram_counts(text))))
+    assert sum(blocks.values()) == pytest.approx(whole[1].sum(), rel=0.05)
+
+
+def test_sharding(spark, docs):
+    got = sharding.placed(docs).collect()
+    assert len(got) == len(DOCS) and sum(r.size for r in got) == sum(len((t or "").encode()) + 1 for _, t in DOCS)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert all(r.grown_shard in (r.shard, 8) and r.law == "key" for r in got)
+    assert sharding.placed(docs.limit(0)).count() == 0
+    again = sharding.placed(docs).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_fisher_yates_is_a_fair_permutation():
+    seen = [tuple(sharding.fisher_yates(3, str(i))) for i in range(3000)]
+    assert all(400 < seen.count(p) < 600 for p in set(seen)) and len(set(seen)) == 6
+
+
+def test_top_k_is_brute_force(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(400, 8)) + 2 * rng.normal(size=(10, 8))[rng.integers(0, 10, 400)]
+    v[7] = v[8] = v[9]  # ties
+    rows = [(i, [float(x) for x in v[i]]) for i in range(400)] + [(500, None), (550, [1.0, None] + [0.0] * 6), (600, [float("nan")] * 8), (650, []), (700, [float("inf")] * 8)]
+    got: dict = {}
+    for block in (64, 4096):
+        for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=block, query_block=3).collect():
+            got.setdefault((block, r.query_id), []).append((r["rank"], r.vec_id, r.score))
+    w = np.floor(256 * v)
+    for q in range(0, 400, 50):
+        best = sorted((-int(w[i] @ w[q]), i) for i in range(400) if i != q)[:5]
+        for block in (64, 4096):
+            assert sorted(got[block, q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert {q for _, q in got} == set(range(0, 400, 50))
+    few = topk.top_k(spark.createDataFrame(rows[:2], "vec_id long, embedding array<double>")).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in few] == [(0, 1, 1)]
+
+
+def test_top_k_beyond_doubles():
+    big = np.array([[2.0**40, 1.0], [2.0**40, 3.0]])
+    assert topk.search(big, np.array([1, 2]), np.array([1, 2]), big[:1], np.array([9]), 1) == [[(2**63 - 1, 2)]]  # ranked before it is held to a long
+
+
+def test_separator_scan(spark, docs, tmp_path):
+    library = Tokenizer.from_file(tokenizer_path())
+    library.encode_special_tokens = True
+    got = tokencount.document_token_counts(docs, tokenizer_path(), 49407, block_bytes=64).collect()
+    want = sorted((str(k), len(library.encode(t or "", add_special_tokens=False).ids)) for k, t in DOCS)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == want
+    (tmp_path / "open.u16").write_bytes(np.array([5, 6, 9, 9, 7], "<u2").tobytes() + b"\1")
+    files = spark.createDataFrame([(str(tmp_path / "open.u16"), 11), (str(tmp_path / "open.u16"), 0)][:1], "file string, bytes long")
+    for block in (2, 4, 6, 100):
+        rows = sorted(tokencount.count_tokens(files, 9, block).collect(), key=lambda r: r.doc_no)
+        assert [(r.doc_no, r.start, r.n_tokens, r.closed) for r in rows] == [(0, 0, 2, True), (1, 3, 0, True), (2, 4, 1, False)]
+
+
+def test_pseudonyms_keep_format_and_link():
+    p = pii.Pseudonymiser()
+    text = "mail joe.63@mail5.example.com card 4621522809162633 tel +1 (736) 555-2678 ip 74.115.213.212 on 2021-03-04 or 31.12.1999, ssn 123-45-6789, DE89 3704 0044 0532 0130 00"
+    out, n = p.replace(text)
+    assert n == 8 and p.replace(out, True)[0] == text and p.replace(text)[0] == out
+    card = out.split("card ")[1][:16]
+    assert pii.luhn(card) and card[0] == "4" and card != "4621522809162633"
+    assert pii.iban_valid(out.split(", ")[-1].replace(" ", ""))
+    datetime.date.fromisoformat(out.split("on ")[1][:10])
+    plain = "the year 2020, 3.14159, 10,000 and 4621522809162634 in version 1.2.3"
+    assert p.replace(plain) == (plain, 0)
+    assert p.replace(None) == (None, 0) and p.replace("") == ("", 0)
+    assert pii.Pseudonymiser(b"other").replace(text)[0] != out
+
+
+def test_pseudonyms_are_a_permutation():
+    f = pii.Feistel()
+    seen = {f.forward(v, 9, 11, b"t") for v in range(99)}
+    assert seen == set(range(99)) and all(f.backward(f.forward(v, 9, 11, b"t"), 9, 11, b"t") == v for v in range(99))
+
+
+def test_pseudonymise_rows(spark, docs):
+    got = pii.pseudonymise(docs.withColumnRenamed("fingerprint", "n_replaced")).collect()
+    assert len(got) == len(DOCS) and all(r.n_replaced == 0 for r in got)
