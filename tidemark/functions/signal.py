@@ -45,7 +45,7 @@ def peak_int16(x: Column) -> Column:
 
 
 def scaled(x: Column, gain: Column) -> Column:
-    return F.transform(x, lambda v: v * gain)
+    return let(gain, lambda g: F.transform(x, lambda v: v * g))
 
 
 def decibels(gain_db: Column) -> Column:
