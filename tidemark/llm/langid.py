@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import map_rows
+from tidemark.llm.common import map_rows, materialise
 
 #: n-grams of a profile; training documents of each language, about, at most; characters counted at a time.
 PROFILE, TRAIN_DOCS, BLOCK = 400, 1000, 1 << 20
+#: Languages whose document counts are sent to every executor, at most.
+MANY_LANGUAGES = 10_000
 #: Code points with a case or letter property of interest; those beyond count as themselves.
 KNOWN = 0x30000
 
@@ -95,7 +97,9 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, most: int = PROFILE
     rows = labelled.where("text is not null and lang is not null")
     totals = rows.groupBy("lang").agg(F.count("*").alias("total"))
     share = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = rows.select("lang", "text").join(totals, "lang").where(share * F.col("total") < train_docs)
+    totals = materialise(totals, "totals")
+    few = totals.count() <= MANY_LANGUAGES
+    sample = rows.select("lang", "text").join(F.broadcast(totals) if few else totals, "lang").where(share * F.col("total") < train_docs)
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
     def make():
