@@ -46,6 +46,13 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Smaller Arrow batches where the session has Spark's default: ten thousand documents are too many to hold at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list | None]], schema: T.StructType) -> DataFrame:
     """Map each Arrow batch: `make()` runs once a task and gives a function from column lists to output lists."""
     names = [f.name for f in schema.fields]

@@ -50,7 +50,7 @@ def words_of(text: str | None) -> list[str]:
 
 def word_hashes(words: list[str]) -> np.ndarray:
     """64-bit hashes of words, looked up in a cache of bounded size."""
-    if len(_hashes) > 500_000:
+    if len(_hashes) > 200_000:
         _hashes.clear()
     get = _hashes.get
     out = [get(w) for w in words]
