@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, minhash, packing, pii
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, text_batches
 from tidemark.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,6 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and those that share no n-gram with any language."""
+    text_batches(spark)
     profiles = langid.train(docs.where(~langid.held_out()))
     seen = langid.predict(docs.select(*COLUMNS), profiles)
     return seen.where((F.col("lang_pred") != "und") & (F.col("score") > 0)).select(*COLUMNS)
@@ -26,17 +27,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each class of near-duplicates."""
+    text_batches(spark)
     return minhash.keep_first(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by pseudonyms; n_chars follows the text."""
+    text_batches(spark)
     done = pii.pseudonymise(docs.select(*COLUMNS))
     return done.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces in training sequences."""
+    text_batches(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
 
