@@ -1,9 +1,10 @@
 """Best-fit packing into sequences: bounded-space online best-fit.
 
-Pieces arrive in a fixed pseudo-random order. A bitset holds one bit for each amount of free space that
-some open bin has; the lowest set bit at or above a piece's length is the best fit. At most `open_bins`
-bins are open; where a piece fits none and all are open, the fullest closes first. A piece's place is
-final when it arrives, so a packing task keeps only the open bins, whatever its input.
+Pieces arrive in a fixed pseudo-random order, in groups of bounded size that begin with the longest. A
+bitset holds one bit for each amount of free space that some open bin has; the lowest set bit at or above
+a piece's length is the best fit. At most `open_bins` bins are open; where a piece fits none and all are
+open, the fullest closes first. Places are final once a group is placed, so a packing task keeps one group
+and the open bins, whatever its input.
 
 Null texts are documents of no tokens; each document ends with one end id. Only documents longer than a
 sequence are cut, into whole sequences and one rest. Repeated rows are packed like any others.
@@ -15,6 +16,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from tidemark.llm.bpe import encoded, transducer
 
 #: Tokens of a sequence, bins open at a time, the id that ends a document.
 CAPACITY, OPEN_BINS, END_ID = 4096, 4096, 1
+#: Pieces are taken in, and put in order of length, about as many sequences' worth or rows at a time.
+AHEAD, AHEAD_ROWS = 2048, 50_000
 
 
 class OpenBins:
@@ -107,13 +111,27 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BIN
     rows = lengths.drop(*clash)
     schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
+    names = [f.name for f in rows.schema.fields]
+
     def run(batches):
         bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
+        held, tokens = [], 0
+
+        def settle():
+            table = pa.Table.from_batches(held)
+            table = table.take(pc.sort_indices(table, [("length", "descending"), ("__order", "ascending")])).select(names)
+            spots = [bins.place(n) for n in table.column("length").to_pylist()]
+            table = table.append_column("sequence_id", pa.array([base + s for s, _ in spots], pa.int64()))
+            return table.append_column("offset", pa.array([o for _, o in spots], pa.int64())).to_batches(max_chunksize=10_000)
+
         for batch in batches:
-            spots = [bins.place(n) for n in batch.column("length").to_pylist()]
-            names = [n for n in batch.schema.names if n != "__order"]
-            added = [pa.array([base + s for s, _ in spots], pa.int64()), pa.array([o for _, o in spots], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *added], names=[*names, "sequence_id", "offset"])
+            held.append(batch)
+            tokens += pc.sum(batch.column("length")).as_py() or 0
+            if tokens >= AHEAD * capacity or sum(b.num_rows for b in held) >= AHEAD_ROWS:
+                yield from settle()
+                held, tokens = [], 0
+        if held:
+            yield from settle()
 
     keyed = rows.withColumn("__order", F.xxhash64(F.lit(seed), *(c for c in rows.columns if c != "ids")))
     dealt = keyed.repartition(F.col("__order")).sortWithinPartitions("__order", *(c for c in rows.columns if c != "ids"))
