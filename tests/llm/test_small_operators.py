@@ -157,6 +157,23 @@ def test_pseudonyms_keep_format_and_link():
     assert pii.Pseudonymiser(b"other").replace(text)[0] != out
 
 
+def test_cards_beside_numbers():
+    p = pii.Pseudonymiser()
+    for card in ("4111 1111 1111 1111", "4621522809162633", "4550997810720808", "3782-822463-10005"):
+        want = p.replace(card)[0]
+        assert want != card and pii.luhn("".join(c for c in want if c.isdigit()))
+        for text in ("{} 12/25", "{} 123", "3 {}", "{} 2353820953013749", "2353820953013749 {}", "1 {} 99", "2021 {} 2022", "AB12 {}", "(12) {}", "+1 {}", "12-25 {} 12-25"):
+            out = p.replace(text.format(card))[0]
+            assert card not in out
+            if text not in ("2021 {} 2022",):  # four-digit neighbours can form another card
+                assert out == text.format(want), (text, card)
+    text = "{} 736-555-2678 {} 2021-03-04 {}".format(*["4111 1111 1111 1111"] * 3)
+    out, n = p.replace(text)
+    assert n == 5 and p.replace(out, True)[0] == text
+    long = "7 12 " * 50_000
+    assert p.replace(long + "4621522809162633")[0].endswith(p.replace("4621522809162633")[0])
+
+
 def test_pseudonyms_are_a_permutation():
     f = pii.Feistel()
     seen = {f.forward(v, 9, 11, b"t") for v in range(99)}

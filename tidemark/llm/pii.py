@@ -7,6 +7,10 @@ permutation is a balanced or unbalanced Feistel network over mixed radices with
 function, walked until the result is valid again, so equal values get equal pseudonyms in all documents,
 different values different ones, and whoever holds the key can go back. Text outside the values is kept.
 
+A card is looked for on all group borders of a run of numbers, so one that stands directly beside others is
+found. Its pseudonym is the same there as anywhere; where it happens to form another valid card with its
+neighbours, going back is ambiguous for that run.
+
 Kinds: e-mail addresses (local part and host labels but for the last), payment cards (Luhn), IBANs (mod
 97), US social security numbers (valid areas), IPv4 addresses, phone numbers, dates, and tokens assigned
 to a secret's name (hexadecimal and mixed, 16 or more characters).
@@ -27,16 +31,23 @@ from pyspark.sql import types as T
 
 ROUNDS, KEY = 10, b"tidemark pseudonyms, key 1"
 DIGITS, LOWER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+#: How cards are usually written, beside one group: the most usual first.
+GROUPINGS = {(4, 4, 4, 4): 1, (4, 6, 5): 1, (4, 6, 4): 1, (4, 4, 4, 4, 3): 2, (4, 4, 4, 4, 2): 2, (4, 4, 4, 1): 2, (4, 4, 5): 2, (6, 13): 2, (8, 8): 2}
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
-PATTERN = re.compile(
+#: What its form alone makes out; cards are then looked for in what is left, and phones last.
+FORMS = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}\b)"
     r"|(?P<secret>(?<=[=:'\"\s])(?=[A-Za-z0-9_]*\d)(?:[0-9a-fA-F]{32,128}|(?:sk|pk|ghp|xox[bp]|AKIA)[-_]?[A-Za-z0-9_]{16,64})\b)"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))"
     r"|(?P<date>(?<![\d/.-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?![\d]|[-/.]\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d))"
-    r"|(?P<card>(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|[ -]?\d{4}))"
+)
+#: Numbers with at most one space or hyphen between: cards stand on the borders of their groups.
+RUN = re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,}")
+NUMBERS = re.compile(
+    r"(?P<card>(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|[ -]?\d{4}))"
     r"|(?P<phone>(?<![\w+])\+?(?:\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\d]|[.-]\d))"
 )
 #: A text without any of these holds no value.
@@ -85,6 +96,35 @@ def check_digit(digits: str) -> str:
     return next(c for c in DIGITS if luhn(digits + c))
 
 
+def cards(run: str) -> list[tuple[int, int]]:
+    """Where in a run of digit groups the valid cards stand, in order.
+
+    Of cards that overlap, one group goes before the usual groupings, those before others, then the first and
+    longest. Groups of one or two digits count in the usual groupings and in a card that is the whole run.
+    """
+    groups = [(m.start(), m.end()) for m in re.finditer(r"\d+", run)]
+    found = []
+    for i, (start, _) in enumerate(groups):
+        if run[start] not in "23456":
+            continue
+        digits, sizes = "", []
+        for j in range(i, len(groups)):
+            digits += run[groups[j][0] : groups[j][1]]
+            sizes.append(groups[j][1] - groups[j][0])
+            if len(digits) > 19:
+                break
+            rank = 0 if j == i else GROUPINGS.get(tuple(sizes), 3) if len({*run[start : groups[j][1]]} & {*" -"}) == 1 else 3
+            if len(digits) >= 13 and (rank < 3 or min(sizes) > 2 or j - i + 1 == len(groups)) and luhn(digits):
+                found.append((rank, start, -groups[j][1]))
+    taken: list[tuple[int, int]] = []
+    free = [True] * len(run)
+    for _, start, end in sorted(found):
+        if all(free[start:-end]):
+            free[start:-end] = [False] * (-end - start)
+            taken.append((start, -end))
+    return sorted(taken)
+
+
 def iban_valid(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
@@ -209,22 +249,45 @@ class Pseudonymiser:
     def replace(self, text: str | None, reverse: bool = False) -> tuple[str | None, int]:
         if not text or not HINT.search(text):
             return text, 0
-        count = 0
+        found: list[tuple[int, int, str]] = []  # what is replaced
+        forms: list[tuple[int, int]] = []  # what looks like a value, valid or not
+        for m in FORMS.finditer(text):
+            out = self.value(kind_of(m), m.group(), reverse)
+            forms.append(m.span())
+            if out is not None:
+                found.append((*m.span(), out))
+        numbers = []
+        for lo, hi in between(found, len(text)):
+            for m in RUN.finditer(text, lo, hi):
+                for a, b in cards(m.group()):
+                    numbers.append((m.start() + a, m.start() + b, self.card(m.group()[a:b], reverse)))
+        for lo, hi in between(sorted([*forms, *numbers]), len(text)):
+            for m in NUMBERS.finditer(text, lo, hi):
+                out = self.value(kind_of(m), m.group(), reverse)
+                if out is not None:
+                    numbers.append((*m.span(), out))
+        parts, at = [], 0
+        for start, end, out in sorted(found + numbers):
+            parts += (text[at:start], out)
+            at = end
+        return "".join((*parts, text[at:])), len(found) + len(numbers)
 
-        def one(m: re.Match) -> str:
-            nonlocal count
-            found = m.group()
-            kind = next(k for k in KINDS if m.group(k) is not None)
-            out = self.value(kind, found, reverse)
-            if out is None:
-                return found
-            count += 1
-            return out
 
-        return PATTERN.sub(one, text), count
+KINDS = ("email", "secret", "iban", "ip", "date", "ssn", "card", "phone")
 
 
-KINDS = ("email", "secret", "iban", "ip", "date", "ssn", "card", "phone")
+def kind_of(m: re.Match) -> str:
+    return next(k for k in KINDS if m.groupdict().get(k) is not None)
+
+
+def between(spans: list[tuple], length: int) -> list[tuple[int, int]]:
+    """The stretches that sorted spans leave."""
+    out, at = [], 0
+    for start, end, *_ in spans:
+        if start > at:
+            out.append((at, start))
+        at = max(at, end)
+    return [*out, (at, length)] if at < length else out
 
 
 def spaced(like: str, plain: str) -> str:
