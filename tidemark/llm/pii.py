@@ -12,8 +12,8 @@ found. Its pseudonym is the same there as anywhere; where it happens to form ano
 neighbours, going back is ambiguous for that run.
 
 Kinds: e-mail addresses (local part and host labels but for the last), payment cards (Luhn), IBANs (mod
-97), US social security numbers (valid areas), IPv4 addresses, phone numbers, dates, and tokens assigned
-to a secret's name (hexadecimal and mixed, 16 or more characters).
+97), US social security numbers (valid areas), IPv4 addresses, phone numbers, dates, hexadecimal tokens of
+32 or more characters, and tokens of 16 or more that begin as keys do (sk, pk, ghp, xoxb, xoxp, AKIA).
 
 Null texts stay null. Empty texts stay empty. A column n_replaced is added (a column of that name is
 replaced).
@@ -38,7 +38,9 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 #: What its form alone makes out; cards are then looked for in what is left, and phones last.
 FORMS = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}\b)"
-    r"|(?P<secret>(?<=[=:'\"\s])(?=[A-Za-z0-9_]*\d)(?:[0-9a-fA-F]{32,128}|(?:sk|pk|ghp|xox[bp]|AKIA)[-_]?[A-Za-z0-9_]{16,64})\b)"
+    r"|(?P<secret>(?<![^=:'\"\s])(?=[A-Za-z0-9_]*\d)[0-9a-fA-F]{32,128}\b"
+    r"|(?<![A-Za-z0-9_-])(?:sk|pk|ghp|AKIA)[-_]?(?=[A-Za-z0-9_-]*\d)(?:[A-Za-z0-9]+-){0,4}[A-Za-z0-9_]{16,256}(?:-[A-Za-z0-9_]+)*(?![A-Za-z0-9_])"
+    r"|(?<![A-Za-z0-9_-])xox[bp][-_]?(?=[A-Za-z0-9_-]*\d)[A-Za-z0-9_-]{15,256}[A-Za-z0-9_](?![A-Za-z0-9_]))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))"
     r"|(?P<date>(?<![\d/.-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?![\d]|[-/.]\d))"
@@ -50,8 +52,8 @@ NUMBERS = re.compile(
     r"(?P<card>(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|[ -]?\d{4}))"
     r"|(?P<phone>(?<![\w+])\+?(?:\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\d]|[.-]\d))"
 )
-#: A text without any of these holds no value.
-HINT = re.compile(r"@|\d[\d ./()-]{5}|[0-9a-fA-F]{32}|[A-Z]{2}\d{2}")
+#: A text without any of these holds no value: each alternative of FORMS, RUN and NUMBERS has one within.
+HINT = re.compile(r"@|\d[\d ./()-]{5}|[0-9a-fA-F]{32}|[A-Z]{2}\d{2}|\b(?:sk|pk|ghp|xox[bp]|AKIA)[\w-]{16}")
 
 
 class Feistel:
