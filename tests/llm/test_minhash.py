@@ -86,3 +86,17 @@ def test_prefix_pairs_lose_nothing(spark):
     got = {tuple(sorted(r)) for r in minhash.verified(minhash.prefix_pairs(rest, frame, 8), frame, 8).collect()}
     want = {(i, j) for j in range(60) for i in range(j) if 10 * len(set(sets[i]) & set(sets[j])) >= 8 * len(set(sets[i]) | set(sets[j]))}
     assert got == want and want
+
+
+def test_repeated_shingles_do_not_part_a_pair(spark):
+    """Sets of Jaccard 0.8 and more whose own or common shingles are repeated in one text only."""
+    rng = random.Random(8)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    rows = []
+    for i in range(40):
+        common, own = line(200), [line(12) for _ in range(2)]
+        rows += [(2 * i + j, " ".join([common, *[own[j]] * 30])) for j in range(2)]
+    want = plain_classes(rows)
+    assert sum(k != c for k, c in want) == 40
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == want

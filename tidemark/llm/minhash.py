@@ -1,9 +1,10 @@
 """Near-duplicate detection: ProbMinHash signatures, banding, verification, classes.
 
-A document is its set of five-word shingles. In the signature each shingle of weight w = 1 + ln(count) is a
-Poisson process of rate w whose arrivals fall on random components; a component keeps the shingle that
-arrives first. Two signatures agree in a component with the probability Jaccard similarity of the two
-weighted sets. Arrivals are drawn in order of time and stop once none can be first any more.
+A document is its set of five-word shingles. In the signature each shingle of weight w is a Poisson process
+of rate w whose arrivals fall on random components; a component keeps the shingle that arrives first. Two
+signatures agree in a component with the probability Jaccard similarity of the two weighted sets. Weights
+are equal here, whatever a shingle's count, so that this is the set Jaccard similarity that links are held
+to. Arrivals are drawn in order of time and stop once none can be first any more.
 
 Copies (equal words) are one node from the start. Nodes that agree in a whole band are candidates. A
 bucket never gives all its pairs: its members are first held against one hub; what the verified links
@@ -124,8 +125,8 @@ def signed(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
                 words = words_of(text)
                 key = node_key(words)
                 if key not in done:
-                    keys, counts = shingles(words, width)
-                    done[key] = (len(keys), band_hashes(signature(keys, 1 + np.log(counts), length), bands, rows).tolist() if len(keys) else [])
+                    keys, _ = shingles(words, width)
+                    done[key] = (len(keys), band_hashes(signature(keys, np.ones(len(keys)), length), bands, rows).tolist() if len(keys) else [])
                 for n, v in zip(SIGNED.names, (doc, key, *done[key])):
                     out[n].append(v)
             return out
