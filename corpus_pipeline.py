@@ -18,11 +18,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those that share no n-gram with any language."""
+    """Drops documents without a letter, and those that share no n-gram with any language; ties stay."""
     text_batches(spark)
     profiles = langid.train(docs.where(~langid.held_out()))
-    seen = langid.predict(docs.select(*COLUMNS), profiles)
-    return seen.where((F.col("lang_pred") != "und") & (F.col("score") > 0)).select(*COLUMNS)
+    seen = langid.predict(docs.select(*COLUMNS), profiles, shared=True)
+    return seen.where("shared").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,3 +12,19 @@ def test_stages_keep_clean_documents(spark, tmp_path):
     assert "736" not in three[5].text.replace("555", "") and three[1].text == rows[0][1] and three[5].n_chars == len(three[5].text)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted({r.doc_id for r in cp.run(spark, str(tmp_path)).collect()}) == [1, 5]
+
+
+def test_language_keeps_ties(spark):
+    texts = ["the quick brown fox", "the quick brown dog"]
+    rows = [(10 * i + j, t, lang, "s", len(t)) for i, lang in enumerate(("en", "xx")) for j, t in enumerate(texts * 5)]
+    rows += [(100, "the fox", None, "s", 7), (101, "\u0436\u0449\u044e", None, "s", 3), (102, "12 34", None, "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    profiles = {"en": [1 << 40, *cp.langid.gram_counts("the fox")[0].tolist()]}
+    profiles["xx"] = profiles["en"]
+    assert cp.langid.Judge(profiles).judge("the fox") == ("en", 0.0, True)
+    trained, cp.langid.train = cp.langid.train, lambda _: profiles
+    try:
+        got = sorted(r.doc_id for r in cp.language(spark, docs, "").collect())
+    finally:
+        cp.langid.train = trained
+    assert got == sorted(r[0] for r in rows if r[0] not in (101, 102))

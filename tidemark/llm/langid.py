@@ -6,7 +6,7 @@ n-grams of how far the two ranks lie apart, or the profile length where the lang
 The nearest language is predicted.
 
 Null texts and texts without a letter get `und` with score 0. A text whose n-grams no profile holds gets
-the first language in name order with score 0. Ties go to the first language in name order. Very long
+the first language in name order with score 0. Ties, whose score is 0 as well, go to the first language in name order. Very long
 texts are counted in blocks. An empty training set makes every prediction `und`.
 """
 
@@ -137,9 +137,13 @@ class Judge:
             self.sides.append((keys[order], order))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and score: 1 minus the nearest distance over the runner-up's, 0 where nothing was in common."""
+        """Language and score: 1 minus the nearest distance over the runner-up's, 0 where they tie or nothing was in common."""
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, and whether the text shares an n-gram with a profile."""
         if not self.names or not has_letter(text):
-            return "und", 0.0
+            return "und", 0.0, False
         grams = top(*gram_counts(text), self.most)
         ranks = np.arange(len(grams))
         distances = []
@@ -149,21 +153,23 @@ class Judge:
         near = int(np.argmin(distances))
         worst = self.most * len(grams)
         rest = min([d for i, d in enumerate(distances) if i != near], default=worst)
-        return self.names[near], float(1 - distances[near] / rest) if rest else 0.0
+        return self.names[near], float(1 - distances[near] / rest) if rest else 0.0, distances[near] < worst
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
-    """Add lang_pred and score, from the text alone; columns of those names are replaced."""
-    clash = {"lang_pred", "score"} & set(docs.columns)
-    schema = T.StructType([*docs.drop(*clash).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def predict(docs: DataFrame, profiles: dict[str, list[int]], shared: bool = False) -> DataFrame:
+    """Add lang_pred and score, and shared on demand, from the text alone; columns of those names are replaced."""
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shared", T.BooleanType())][: 2 + shared]
+    clash = {f.name for f in added} & set(docs.columns)
+    schema = T.StructType([*docs.drop(*clash).schema.fields, *added])
     packed = json.dumps(profiles)
 
     def run(batches):
         judge = Judge(json.loads(packed))
         for batch in batches:
-            found = [judge.predict(t) for t in batch.column("text").to_pylist()]
+            found = [judge.judge(t) for t in batch.column("text").to_pylist()]
             kept = [n for n in batch.schema.names if n not in clash]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=[*kept, "lang_pred", "score"])
+            new = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_())[: len(added)])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *new], names=[*kept, *(f.name for f in added)])
 
     return docs.mapInArrow(run, schema)
 
