@@ -38,3 +38,9 @@ def test_rows(spark):
     got = {(r.page_id, r.url): r.text for r in wrappers.main_text(df).collect()}
     assert got[1, "http://a.example/1"].startswith("Head 1\nFirst & 1") and got[2, None] == "" and got[3, "no url"].startswith("loose <text>")
     assert wrappers.main_text(df.limit(0)).count() == 0
+
+
+def test_raw_elements_after_letters_that_grow_in_lower_case():
+    for k in (1, 3, 40):
+        page = "<article><p>" + "\u0130" * k + "</p><SCRIPT>var a = 1</Script><p>First text</p><button>x</button><p>Second text</p></article>"
+        assert wrappers.extract(page, None) == "\u0130" * k + "\nFirst text\nSecond text"

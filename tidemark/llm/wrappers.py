@@ -55,6 +55,7 @@ MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post|entry|story|con
 _token = re.compile(r"<!--.*?-->|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _named = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _digits = re.compile(r"\d+")
+_raw_end = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 
 
 class Element:
@@ -71,7 +72,7 @@ def parse(page: str) -> Element:
     """A tolerant reading of a page: every text lands in a block, every element is closed somewhere."""
     root = Element("", "")
     stack, text, in_link = [root], [], 0
-    at, n, lower = 0, len(page), None
+    at, n = 0, len(page)
 
     def flush() -> None:
         if text:
@@ -114,10 +115,9 @@ def parse(page: str) -> Element:
         if tag in VOID:
             continue
         if tag in RAW:
-            lower = lower or page.lower()
-            end = lower.find(f"</{tag}", at)
-            if not m.group(3).endswith("/") and (end >= 0 or tag in ("script", "style")):
-                at = n if end < 0 else end
+            end = _raw_end[tag].search(page, at)
+            if not m.group(3).endswith("/") and (end or tag in ("script", "style")):
+                at = end.start() if end else n
             continue
         if tag in CLOSES_P and stack[-1].tag == "p":
             stack.pop()
