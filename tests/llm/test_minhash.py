@@ -100,3 +100,9 @@ def test_repeated_shingles_do_not_part_a_pair(spark):
     assert sum(k != c for k, c in want) == 40
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(tuple(r) for r in got) == want
+
+
+def test_keep_first_goes_by_row(spark):
+    rows = [(1, "a b c d e f"), (2, "A b c d e f"), (2, "quite another text"), (3, "one"), (3, "two"), (3, "two"), (None, "x y"), (None, "X y"), (None, "a b c d e f"), (9, "last of all")]
+    got = minhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "text")).collect()
+    assert sorted((str(r.doc_id), r.text.lower()) for r in got) == [("1", "a b c d e f"), ("2", "quite another text"), ("3", "one"), ("3", "two"), ("9", "last of all"), ("None", "x y")]

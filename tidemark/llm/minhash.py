@@ -217,6 +217,11 @@ def prefix_pairs(rest: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) of every row."""
+    return classified(docs, threshold, width, bands, rows).select("doc_id", "class_id")
+
+
+def classified(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, the key of its words, the node that names its class and class_id of every row."""
     tenths = round(threshold * 10)
     signs = materialise(signed(docs, width, bands, rows), "signatures")
     nodes = signs.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"))
@@ -242,15 +247,34 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         classes = materialise(components(roots.union(more)), "classes")
     named = nodes.select("node", "key", "rep").join(classes, "node", "left").select("key", "rep", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    return signs.select("doc_id", "key").join(named.join(least, "root").select("key", "class_id"), "key").select("doc_id", "class_id")
+    return signs.select("doc_id", "key").join(named.join(least, "root").select("key", "root", "class_id"), "key").select("doc_id", "key", "root", "class_id")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with the key of their words in a column `key`."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("key", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            keys = [node_key(words_of(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each class: the least doc_id, of repeated ids one row. Null ids stay as they are."""
-    classes = near_duplicates(docs)
-    gone = materialise(classes.where("doc_id <> class_id").select("doc_id").distinct(), "gone")
-    left = docs.join(F.broadcast(gone) if gone.count() <= SEND else gone, "doc_id", "left_anti")
-    again = classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    """One row of each class: the least doc_id, null last; of rows that share it, the least key of the words."""
+    rows = materialise(classified(docs).select("doc_id", "key", "root"), "rows")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
+    other = rows.join(first, "root").where("doc_id is not null and (first.doc_id is null or first.doc_id <> doc_id or first.key <> key)").select("doc_id")
+    again = materialise(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").select("doc_id"), "again")
+    gone = materialise(other.union(again.where("doc_id is not null")).distinct(), "gone")
+    left = docs.where("doc_id is not null").join(F.broadcast(gone) if gone.count() <= SEND else gone, "doc_id", "left_anti").select(*docs.columns)
     if again.isEmpty():
         return left
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    # Rows whose id does not tell them apart are taken by the key of their words.
+    some = docs.join(again.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    kept = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"))
+    some = keyed(some)
+    some = some.join(kept, (F.col("key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    return left.unionByName(some.dropDuplicates(["key"]).select(*docs.columns))
