@@ -12,9 +12,15 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is set, a temporary one in local mode; on a cluster that is an error, as executors would not
+    see each other's files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -23,12 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    system, target = _place(spark, path)
+    system.deleteOnExit(target)
     return path
 
 
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove tables that `materialise` wrote and nothing reads any more."""
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            system, target = _place(spark, file)
+            system.delete(target.getParent(), True)
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

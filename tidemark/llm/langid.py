@@ -7,13 +7,16 @@ The nearest language is predicted.
 
 Null texts and texts without a letter get `und` with score 0. A text whose n-grams no profile holds gets
 the first language in name order with score 0. Ties, whose score is 0 as well, go to the first language in name order. Very long
-texts are counted in blocks. An empty training set makes every prediction `und`.
+texts are counted in blocks, with the same counts as in one. An empty training set makes every prediction
+`und`. Repeated rows and ids are fine. A null doc_id counts as the empty text where held-out documents are
+told apart.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from tidemark.llm.common import map_rows, materialise
 
 #: n-grams of a profile; training documents of each language, about, at most; characters counted at a time.
 PROFILE, TRAIN_DOCS, BLOCK = 400, 1000, 1 << 20
-#: Languages whose document counts are sent to every executor, at most.
+#: Languages there may be: their counts and profiles are sent to every executor.
 MANY_LANGUAGES = 10_000
 #: Code points with a case or letter property of interest; those beyond count as themselves.
 KNOWN = 0x30000
@@ -52,25 +55,29 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def folded(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """The text's letters with runs of anything else as one space, block by block; each block after the two code
+    points before it, with how many of its first are those."""
+    table, carry, n = fold_table(), np.array([32], np.int64), max(1, len(text))
+    for at in range(0, n, BLOCK):
+        codes = np.frombuffer(text[at : at + BLOCK].encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = np.where(codes < KNOWN, table[np.minimum(codes, KNOWN - 1)], 32).astype(np.int64)
+        codes = np.concatenate((carry, codes, np.full(int(at + BLOCK >= n), 32, np.int64)))
+        space = codes == 32
+        again = space & np.concatenate(([False], space[:-1]))
+        again[: len(carry)] = False
+        codes = codes[~again]
+        yield codes, len(carry)
+        carry = codes[-2:]
+
+
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """All 1- to 3-grams of a text, packed with 21 bits a character, and how often each occurs."""
     keys, counts = [], []
-    for at in range(0, max(1, len(text)), BLOCK):
-        lead = 2 if at else 0
-        codes = np.frombuffer(text[max(0, at - lead) : at + BLOCK].encode("utf-32-le", "surrogatepass"), "<u4")
-        table = fold_table()
-        codes = np.where(codes < KNOWN, table[np.minimum(codes, KNOWN - 1)], 32).astype(np.int64)
-        if not at:
-            codes = np.concatenate(([32], codes))
-        if at + BLOCK >= len(text):
-            codes = np.concatenate((codes, [32]))
-        if not lead:
-            space = codes == 32
-            codes = codes[~(space & np.concatenate(([False], space[:-1])))]
-        lead = min(lead, len(codes))
-        one = codes[lead:]
-        two = (codes[:-1] << 21 | codes[1:])[max(0, lead - 1) :]
-        three = codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]
+    for codes, old in folded(text):
+        one = codes[old:]
+        two = (codes[:-1] << 21 | codes[1:])[max(0, old - 1) :]
+        three = (codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])[max(0, old - 2) :]
         key, count = np.unique(np.concatenate((one[one != 32], two, three)), return_counts=True)
         keys.append(key)
         counts.append(count)
@@ -91,15 +98,17 @@ def top(keys: np.ndarray, counts: np.ndarray, most: int = PROFILE) -> np.ndarray
 def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, most: int = PROFILE) -> dict[str, list[int]]:
     """Profiles from rows with text and lang.
 
-    A language with more than `train_docs` documents is fitted on about that many, chosen by a hash of the
-    text. The result is a few hundred numbers a language.
+    A language with more than `train_docs` documents is fitted on about that many, drawn row by row: equal
+    texts are drawn apart. The result is a few hundred numbers a language; more than MANY_LANGUAGES values of
+    `lang` are an error.
     """
     rows = labelled.where("text is not null and lang is not null")
-    totals = rows.groupBy("lang").agg(F.count("*").alias("total"))
-    share = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    totals = materialise(totals, "totals")
-    few = totals.count() <= MANY_LANGUAGES
-    sample = rows.select("lang", "text").join(F.broadcast(totals) if few else totals, "lang").where(share * F.col("total") < train_docs)
+    totals = materialise(rows.groupBy("lang").agg(F.count("*").alias("total")), "totals")
+    if totals.count() > MANY_LANGUAGES:
+        raise ValueError(f"more than {MANY_LANGUAGES} languages")
+    share = F.pmod(F.xxhash64("text", F.monotonically_increasing_id(), F.lit(5)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    drawn = rows.select("lang", "text", share.alias("share"))
+    sample = drawn.join(F.broadcast(totals), "lang").where(F.col("share") * F.col("total") < train_docs)
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
     def make():
@@ -176,4 +185,4 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], shared: bool = Fals
 
 def held_out() -> Column:
     """Documents that no profile may learn from."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0

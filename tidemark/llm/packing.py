@@ -1,13 +1,15 @@
 """Best-fit packing into sequences: bounded-space online best-fit.
 
-Pieces arrive in a fixed pseudo-random order, in groups of bounded size that begin with the longest. A
-bitset holds one bit for each amount of free space that some open bin has; the lowest set bit at or above
-a piece's length is the best fit. At most `open_bins` bins are open; where a piece fits none and all are
-open, the fullest closes first. Places are final once a group is placed, so a packing task keeps one group
-and the open bins, whatever its input.
+Pieces arrive in a fixed pseudo-random order and are placed one by one as they come. A bitset holds one bit
+for each amount of free space that some open bin has; the lowest set bit at or above a piece's length is
+the best fit. At most `open_bins` bins are open; where a piece fits none and all are open, the fullest
+closes first. A place is final at once, so a packing task keeps its open bins and nothing else, whatever
+its input.
 
 Null texts are documents of no tokens; each document ends with one end id. Only documents longer than a
-sequence are cut, into whole sequences and one rest. Repeated rows are packed like any others.
+sequence are cut, into whole sequences and one rest. Repeated rows are packed like any others; null ids
+stay null; an empty table gives no rows. Columns `sequence_id` and `offset` of `pack`'s input are replaced,
+all others pass.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +26,7 @@ from pyspark.sql import types as T
 from tidemark.llm.bpe import encoded, transducer
 
 #: Tokens of a sequence, bins open at a time, the id that ends a document.
-CAPACITY, OPEN_BINS, END_ID = 4096, 4096, 1
-#: Pieces are taken in, and put in order of length, about as many sequences' worth or rows at a time.
-AHEAD, AHEAD_ROWS = 2048, 50_000
+CAPACITY, OPEN_BINS, END_ID = 4096, 256, 1
 
 
 class OpenBins:
@@ -35,7 +34,7 @@ class OpenBins:
 
     def __init__(self, capacity: int, most: int):
         self.capacity, self.most = capacity, most
-        self.bits, self.count, self.made = 0, 0, 0
+        self.bits, self.count, self.made, self.closed = 0, 0, 0, 0
         self.by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
 
     def place(self, length: int) -> tuple[int, int]:
@@ -46,6 +45,7 @@ class OpenBins:
             number = self.take(free)
         else:
             if self.count == self.most:
+                self.closed += 1
                 self.take((self.bits & -self.bits).bit_length() - 1)
             free, number = self.capacity, self.made
             self.made += 1
@@ -104,37 +104,27 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 def pack(lengths: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, seed: int = 17) -> DataFrame:
     """Add sequence_id and offset to rows with a `length` from 1 to `capacity`.
 
-    Rows are dealt by a hash of all columns and packed in its order, so that a task that runs again packs
-    the same. The number of packing tasks is left to adaptive execution, which joins small ones.
+    Rows are dealt by a hash of their plain columns and their place in the input, and packed in its order, so
+    that many equal rows are spread and a task that runs again packs the same. The number of packing tasks is left to adaptive execution, which joins small ones.
     """
     clash = {"sequence_id", "offset"} & set(lengths.columns)
     rows = lengths.drop(*clash)
     schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    names = [f.name for f in rows.schema.fields]
+    names, order = [f.name for f in rows.schema.fields], "__order"
+    while order in names:
+        order += "_"
 
     def run(batches):
         bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
-        held, tokens = [], 0
-
-        def settle():
-            table = pa.Table.from_batches(held)
-            table = table.take(pc.sort_indices(table, [("length", "descending"), ("__order", "ascending")])).select(names)
-            spots = [bins.place(n) for n in table.column("length").to_pylist()]
-            table = table.append_column("sequence_id", pa.array([base + s for s, _ in spots], pa.int64()))
-            return table.append_column("offset", pa.array([o for _, o in spots], pa.int64())).to_batches(max_chunksize=10_000)
-
         for batch in batches:
-            held.append(batch)
-            tokens += pc.sum(batch.column("length")).as_py() or 0
-            if tokens >= AHEAD * capacity or sum(b.num_rows for b in held) >= AHEAD_ROWS:
-                yield from settle()
-                held, tokens = [], 0
-        if held:
-            yield from settle()
-
-    keyed = rows.withColumn("__order", F.xxhash64(F.lit(seed), *(c for c in rows.columns if c != "ids")))
-    dealt = keyed.repartition(F.col("__order")).sortWithinPartitions("__order", *(c for c in rows.columns if c != "ids"))
+            spots = [bins.place(n) for n in batch.column("length").to_pylist()]
+            new = [pa.array([base + s for s, _ in spots], pa.int64()), pa.array([o for _, o in spots], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new], names=schema.names)
+
+    sortable = [c for c in names if not isinstance(rows.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]
+    keyed = rows.withColumn(order, F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *sortable))
+    dealt = keyed.repartition(F.col(order)).sortWithinPartitions(order, *sortable)
     return dealt.mapInArrow(run, schema)
 
 

@@ -2,7 +2,8 @@
 
 Validated values are found in the text and replaced by a keyed permutation within their own format: a
 card number by a card number of the same length, leading digit and valid check digit, a date by another
-date written the same way, a phone number by one with the same punctuation, an address by an address. The
+date written the same way, a phone number by one with the same punctuation, an address by an address. One
+day has one pseudonym however it is written: 2020-01-15, 01/15/2020 and 15.1.2020 stay linked. The
 permutation is a balanced or unbalanced Feistel network over mixed radices with a keyed BLAKE2b round
 function, walked until the result is valid again, so equal values get equal pseudonyms in all documents,
 different values different ones, and whoever holds the key can go back. Text outside the values is kept.
@@ -11,28 +12,43 @@ A card is looked for on all group borders of a run of numbers, so one that stand
 found. Its pseudonym is the same there as anywhere; where it happens to form another valid card with its
 neighbours, going back is ambiguous for that run.
 
-Kinds: e-mail addresses (local part and host labels but for the last), payment cards (Luhn), IBANs (mod
-97), US social security numbers (valid areas), IPv4 addresses, phone numbers, dates, hexadecimal tokens of
-32 or more characters, and tokens of 16 or more that begin as keys do (sk, pk, ghp, xoxb, xoxp, AKIA).
+Kinds: e-mail addresses (local part and host labels but for the last), payment cards (issuer range, length
+and Luhn), IBANs (mod 97), US social security numbers (valid areas), IPv4 addresses (but not after the word
+`version` or a `v`), phone numbers, dates from 1900 to 2099, hexadecimal tokens of 32 or more characters,
+and tokens of 16 or more that begin as keys do (sk, pk, ghp, xoxb, xoxp, AKIA), with a digit in them or in
+one of the forms that need none.
 
-Null texts stay null. Empty texts stay empty. A column n_replaced is added (a column of that name is
-replaced).
+The key comes from `spark.tidemark.pii.key` or the environment's TIDEMARK_PII_KEY; `key_of` fails where
+neither is set, unless a key for demonstrations is asked for.
+
+Null texts stay null. Empty texts stay empty. Repeated rows get equal pseudonyms, an empty table gives no
+rows, other columns pass. A column n_replaced is added (a column of that name is replaced).
 """
 
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
+import math
+import os
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-ROUNDS, KEY = 10, b"tidemark pseudonyms, key 1"
+#: Rounds of the network, and the public key of tests and demonstrations: pseudonyms under it hide nothing.
+ROUNDS, DEMO_KEY = 10, b"public demonstration key"
 DIGITS, LOWER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 #: How cards are usually written, beside one group: the most usual first.
 GROUPINGS = {(4, 4, 4, 4): 1, (4, 6, 5): 1, (4, 6, 4): 1, (4, 4, 4, 4, 3): 2, (4, 4, 4, 4, 2): 2, (4, 4, 4, 1): 2, (4, 4, 5): 2, (6, 13): 2, (8, 8): 2}
+#: Leading digits and lengths of card numbers by issuer.
+ISSUERS = re.compile(
+    r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}"
+    r"|(?:6011|64[4-9]\d|65\d\d)(?:\d{12}|\d{15})|62\d\d(?:\d{12}|\d{13}|\d{14}|\d{15})|35(?:2[89]|[3-8]\d)(?:\d{12}|\d{15})|3(?:0[0-5]|095|[689]\d)\d{11}"
+    r"|(?:50\d\d|5[6-9]\d\d|6[37]\d\d)\d{8,15}"
+)
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 #: What its form alone makes out; cards are then looked for in what is left, and phones last.
@@ -40,9 +56,10 @@ FORMS = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}\b)"
     r"|(?P<secret>(?<![^=:'\"\s])(?=[A-Za-z0-9_]*\d)[0-9a-fA-F]{32,128}\b"
     r"|(?<![A-Za-z0-9_-])(?:sk|pk|ghp|AKIA)[-_]?(?=[A-Za-z0-9_-]*\d)(?:[A-Za-z0-9]+-){0,4}[A-Za-z0-9_]{16,256}(?:-[A-Za-z0-9_]+)*(?![A-Za-z0-9_])"
+    r"|(?<![A-Za-z0-9_-])(?:[sp]k_(?:live|test)_[A-Za-z]{16,256}|ghp_[A-Za-z]{16,256}|AKIA[A-Z]{16})(?![A-Za-z0-9_])"
     r"|(?<![A-Za-z0-9_-])xox[bp][-_]?(?=[A-Za-z0-9_-]*\d)[A-Za-z0-9_-]{15,256}[A-Za-z0-9_](?![A-Za-z0-9_]))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))"
+    r"|(?P<ip>(?<![\d.])(?<!\bv)(?<!\bversion )(?<!\bVersion )(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))"
     r"|(?P<date>(?<![\d/.-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?![\d]|[-/.]\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d))"
 )
@@ -59,7 +76,7 @@ HINT = re.compile(r"@|\d[\d ./()-]{5}|[0-9a-fA-F]{32}|[A-Z]{2}\d{2}|\b(?:sk|pk|g
 class Feistel:
     """Keyed permutation of the integers below left * right."""
 
-    def __init__(self, key: bytes = KEY, rounds: int = ROUNDS):
+    def __init__(self, key: bytes = DEMO_KEY, rounds: int = ROUNDS):
         self.base, self.rounds = hashlib.blake2b(key=hashlib.blake2b(key, digest_size=32).digest(), digest_size=16), rounds
 
     def round_value(self, tweak: bytes, i: int, half: int) -> int:
@@ -98,6 +115,10 @@ def check_digit(digits: str) -> str:
     return next(c for c in DIGITS if luhn(digits + c))
 
 
+def is_card(digits: str) -> bool:
+    return ISSUERS.fullmatch(digits) is not None and luhn(digits)
+
+
 def cards(run: str) -> list[tuple[int, int]]:
     """Where in a run of digit groups the valid cards stand, in order.
 
@@ -107,7 +128,7 @@ def cards(run: str) -> list[tuple[int, int]]:
     groups = [(m.start(), m.end()) for m in re.finditer(r"\d+", run)]
     found = []
     for i, (start, _) in enumerate(groups):
-        if run[start] not in "23456":
+        if run[start] not in "23456":  # no issuer
             continue
         digits, sizes = "", []
         for j in range(i, len(groups)):
@@ -116,7 +137,7 @@ def cards(run: str) -> list[tuple[int, int]]:
             if len(digits) > 19:
                 break
             rank = 0 if j == i else GROUPINGS.get(tuple(sizes), 3) if len({*run[start : groups[j][1]]} & {*" -"}) == 1 else 3
-            if len(digits) >= 13 and (rank < 3 or min(sizes) > 2 or j - i + 1 == len(groups)) and luhn(digits):
+            if len(digits) >= 13 and (rank < 3 or min(sizes) > 2 or j - i + 1 == len(groups)) and is_card(digits):
                 found.append((rank, start, -groups[j][1]))
     taken: list[tuple[int, int]] = []
     free = [True] * len(run)
@@ -134,7 +155,7 @@ def iban_valid(text: str) -> bool:
 class Pseudonymiser:
     """Replaces values under one key; `back` undoes it."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes = DEMO_KEY):
         self.feistel = Feistel(key)
 
     def symbols(self, text: str, tweak: str, reverse: bool = False, fixed: int = 0) -> str:
@@ -182,7 +203,7 @@ class Pseudonymiser:
             half = n // 2
             out = f"{self.step(int(low, 16), 16 ** (n - half), 16**half, f'hex{n}', reverse):0{n}x}"
             return out if text == low else out.upper()
-        lead = re.match(r"(?:sk|pk|ghp|xox[bp]|AKIA)[-_]?", text)
+        lead = re.match(r"(?:[sp]k_(?:live|test)_|(?:sk|pk|ghp|xox[bp]|AKIA)[-_]?)", text)
         return self.symbols(text, "secret", reverse, lead.end() if lead else 0)
 
     def iban(self, text: str, reverse: bool) -> str | None:
@@ -215,20 +236,15 @@ class Pseudonymiser:
             return None
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        padded = all(len(part[x]) == 2 for x in "md")
-
-        def shown(n: int) -> str | None:
-            d = datetime.date.fromordinal(FIRST_DAY + n)
-            texts = {"y": f"{d.year:04d}", "m": f"{d.month:02d}", "d": f"{d.day:02d}"} if padded else {"y": str(d.year), "m": str(d.month), "d": str(d.day)}
-            ambiguous = order == "dmy" and sep == "/" and d.day <= 12
-            same = padded or all(len(texts[x]) == len(part[x]) for x in "md")
-            return sep.join(texts[x] for x in order) if same and not ambiguous else None
-
-        n, count = day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1
+        days, place = days_like(day)
+        half = math.isqrt(len(days) - 1) + 1
         while True:
-            n = self.step(n, 270, 271, f"date{order}{sep}", reverse)
-            if n < count and (out := shown(n)):
-                return out
+            place = self.step(place, half, half, f"date{len(days)}/{days[0]}", reverse)
+            if place < len(days):
+                break
+        d = datetime.date.fromordinal(days[place])
+        shown = {"y": f"{d.year:04d}", "m": f"{d.month:0{len(part['m'])}d}", "d": f"{d.day:0{len(part['d'])}d}"}
+        return sep.join(shown[x] for x in order)
 
     def ssn(self, text: str, reverse: bool) -> str | None:
         valid = lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[4:6] != "00" and x[7:] != "0000"
@@ -236,9 +252,10 @@ class Pseudonymiser:
 
     def card(self, text: str, reverse: bool) -> str | None:
         plain = re.sub(r"[ -]", "", text)
-        if plain[0] not in "23456" or not luhn(plain):
+        if not is_card(plain):
             return self.phone(text, reverse) if len(plain) <= 15 and text[0] != "0" and re.search(r"[ -]", text) else None
-        body = self.symbols(plain[:-1], f"card{len(plain)}", reverse, 1)
+        issued = lambda x: ISSUERS.fullmatch(x + "0") is not None  # noqa: E731  the check digit follows from the rest
+        body = self.walked(plain[:-1], f"card{len(plain)}", issued, reverse, 1)
         return spaced(text, body + check_digit(body))
 
     def phone(self, text: str, reverse: bool) -> str | None:
@@ -275,6 +292,26 @@ class Pseudonymiser:
         return "".join((*parts, text[at:])), len(found) + len(numbers)
 
 
+@functools.cache
+def day_classes() -> dict[tuple, list[int]]:
+    """All days, apart by whether month and day have one digit and whether the day can be taken for a month."""
+    found: dict[tuple, list[int]] = {}
+    for day in range(FIRST_DAY, LAST_DAY + 1):
+        d = datetime.date.fromordinal(day)
+        found.setdefault((d.month < 10, d.day < 10, d.day > 12), []).append(day)
+    return found
+
+
+@functools.cache
+def day_places() -> dict[int, tuple[list[int], int]]:
+    return {day: (days, i) for days in day_classes().values() for i, day in enumerate(days)}
+
+
+def days_like(day: int) -> tuple[list[int], int]:
+    """The days that can stand for `day` in every way of writing it, and its place among them."""
+    return day_places()[day]
+
+
 KINDS = ("email", "secret", "iban", "ip", "date", "ssn", "card", "phone")
 
 
@@ -298,7 +335,17 @@ def spaced(like: str, plain: str) -> str:
     return "".join(next(rest) if c.isalnum() else c for c in like)
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, reverse: bool = False) -> DataFrame:
+def key_of(spark: SparkSession, demo: bool = False) -> bytes:
+    """The secret key of the session; raises where none is set and no demonstration is asked for."""
+    named = spark.conf.get("spark.tidemark.pii.key", None) or os.environ.get("TIDEMARK_PII_KEY")
+    if named:
+        return named.encode()
+    if demo:
+        return DEMO_KEY
+    raise ValueError("no key for pseudonyms: set spark.tidemark.pii.key or TIDEMARK_PII_KEY")
+
+
+def pseudonymise(docs: DataFrame, key: bytes, reverse: bool = False) -> DataFrame:
     """Every row, with the values in its text replaced and their number in n_replaced."""
     columns = [c for c in docs.columns if c != "n_replaced"]
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("n_replaced", T.IntegerType())])

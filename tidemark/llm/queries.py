@@ -30,7 +30,7 @@ def op1_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.key_of(spark, demo=True))
 
 
 def op3_inferred_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

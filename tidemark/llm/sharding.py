@@ -4,8 +4,9 @@ Pass one scatters whole records into buckets that fit in memory: a document's sh
 id and the shard count (law `key`, highest seeded hash wins, so one shard more only takes rows into
 itself), its bucket within the shard is drawn from a seeded hash of its position in the input, uniform
 whatever the keys are. Pass two puts each bucket into canonical order, shuffles it by Fisher-Yates with a
-generator seeded by the bucket, and writes it. A bucket's rows and order do not depend on task order, so
-lost tasks can run again; the input must be a scan or a written table, for its positions to hold.
+generator seeded by the bucket, and writes it. Each shard has as many buckets as its own bytes need, so that
+one heavy id makes more buckets and not larger ones. A bucket's rows and order do not depend on task order,
+so lost tasks can run again; the input must be a scan or a written table, for its positions to hold.
 
 Null texts have size 1 and the checksum of nothing. Null ids are dealt like an id of their own. Repeated
 rows keep their number. An empty table gives no rows.
@@ -48,10 +49,14 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
     Columns named __shard, __bucket and __place are replaced.
     """
     docs = docs.drop("__shard", "__bucket", "__place")
-    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("b")).first().b or 0
-    each = parts_for(docs.sparkSession, total / shards, bucket_bytes)
-    spot = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(each))
-    dealt = docs.withColumn("__shard", shard_of(F.col("doc_id"), shards, seed).cast("int")).withColumn("__bucket", (F.col("__shard") * each + spot).cast("int"))
+    own = shard_of(F.col("doc_id"), shards, seed).cast("int")
+    sizes = docs.groupBy(own.alias("shard")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("b")).collect()  # a row a shard
+    held = {r.shard: parts_for(docs.sparkSession, r.b, bucket_bytes) for r in sizes}
+    each = [held.get(s, 1) for s in range(shards)]
+    first = [sum(each[:s]) for s in range(shards)]
+    of_shard = lambda numbers: F.element_at(F.array(*map(F.lit, numbers)), F.col("__shard") + 1)
+    spot = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), of_shard(each))
+    dealt = docs.withColumn("__shard", own).withColumn("__bucket", (of_shard(first) + spot).cast("int"))
     schema = T.StructType([*dealt.schema.fields, T.StructField("__place", T.LongType())])
 
     def run(batches):
@@ -76,7 +81,7 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
             part = table.take(where[i : i + 1000]).combine_chunks()
             yield pa.RecordBatch.from_arrays([*(c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in part.columns), pa.array(places[i : i + 1000], pa.int64())], names=schema.names)
 
-    return dealt.repartitionById(shards * each, F.col("__bucket")).mapInArrow(run, schema)
+    return dealt.repartitionById(sum(each), F.col("__bucket")).mapInArrow(run, schema)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:

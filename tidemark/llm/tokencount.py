@@ -6,11 +6,13 @@ vectorised comparison; a document that began in an earlier block gets its start
 the blocks' summaries (ends so far, place of the last end), a few numbers a block.
 
 A file's rest without an end is a document of its own, marked open. An empty file has no documents. A
-trailing odd byte is no id and is passed over.
+trailing odd byte is no id and is passed over. Null texts are documents of no tokens; repeated rows and ids
+are documents of their own; an empty table writes no files and gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import numpy as np
@@ -37,12 +39,28 @@ def opened(url: str):
     return fs.FileSystem.from_uri(plain if "://" in plain else f"file://{plain}")
 
 
+def check_ids(tokenizer: str, end_id: int) -> None:
+    """Raise where an id does not fit, or where the end id could stand inside a document."""
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = json.load(f)
+    added = {t["id"] for t in spec.get("added_tokens", [])}
+    ids = set(spec["model"]["vocab"].values()) | added
+    for i in (end_id, max(ids)):
+        if not 0 <= i < 1 << 8 * WIDTH:
+            raise ValueError(f"id {i} does not fit into {8 * WIDTH} bits")
+    if end_id in ids - added:
+        raise ValueError(f"id {end_id} is an ordinary token and cannot end a document")
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> DataFrame:
     """One token file a task; returns file, doc_no, doc_id and the file's bytes so far, a row a document.
 
-    A task that runs again writes a file of another name, and only the files of the rows returned count.
+    Ids and `end_id` must fit into 16 bits and `end_id` must be no id of a text, else nothing is written:
+    ValueError. A task that runs again writes a file of another name, and only the files of the rows returned count.
     """
 
+    check_ids(tokenizer, end_id)
+
     def run(batches):
         t = transducer(tokenizer, special_in_text=False)
         system, base = opened(folder)
