@@ -1,20 +1,25 @@
 """Near-duplicate detection: ProbMinHash signatures, banding, verification, classes.
 
-A document is its set of five-word shingles. In the signature each shingle of weight w is a Poisson process
-of rate w whose arrivals fall on random components; a component keeps the shingle that arrives first. Two
-signatures agree in a component with the probability Jaccard similarity of the two weighted sets. Weights
-are equal here, whatever a shingle's count, so that this is the set Jaccard similarity that links are held
-to. Arrivals are drawn in order of time and stop once none can be first any more.
+A document is its weighted set of five-word shingles: one that occurs n times weighs 1 + ln n. In the
+signature each shingle of weight w is a Poisson process of rate w whose arrivals fall on random components;
+a component keeps the shingle that arrives first. Two signatures agree in a component with the probability
+Jaccard similarity of the two weighted sets. Arrivals are drawn in order of time and stop once none can be
+first any more.
+
+Two documents are linked where the exact probability Jaccard similarity of their weighted shingles is at
+least the threshold, or that of equal weights, which is the Jaccard similarity of the plain sets. Documents
+with repeated shingles are signed with both weightings, so that every pair that is a link by either measure
+meets by the measure it is a link by; for all others the two signatures are one.
 
 Copies (equal words) are one node from the start. Nodes that agree in a whole band are candidates. A
-bucket never gives all its pairs: its members are first held against one hub; what the verified links
+bucket never gives all its pairs: its members are first held against two hubs; what the verified links
 leave apart, bucket by bucket, is compared through an exact prefix filter over the rarest shingles, which
-loses no pair at the threshold. A pair is a link when the exact Jaccard similarity of the two shingle sets
-is at least the threshold; classes are the connected components of the links.
+loses no pair at the threshold by either measure. Classes are the connected components of the links. Keys
+that many rows share (buckets, hubs, star centres, shingles) are joined apart from the rest.
 
 Words are runs of letters and digits in lower case. Texts of one to four words are one shingle. Texts
-without a word, nulls included, are copies of each other. Repeated rows and ids are fine. Every input row
-gives one output row.
+without a word, nulls included, are copies of each other. Repeated rows and ids are fine; further columns
+take no part. Every input row gives one output row, an empty table none.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import map_rows, materialise
+from tidemark.llm.common import discard, map_rows, materialise
 
 #: Words of a shingle, similarity of a link, signature length, bands and rows of the banding.
 WIDTH, THRESHOLD, LENGTH, BANDS, ROWS = 5, 0.8, 256, 36, 7
@@ -105,7 +110,41 @@ def band_hashes(owner: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.n
     return total.view(np.int64)
 
 
-SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+def weighted(counts: np.ndarray) -> np.ndarray:
+    """Weights of shingles that occur so often."""
+    return 1.0 + np.log(counts)
+
+
+def estimate(one: np.ndarray, other: np.ndarray) -> float:
+    """The probability Jaccard similarity that two signatures make likely: the share of components that agree."""
+    return float((one == other).mean())
+
+
+def probability_jaccard(keys_a: np.ndarray, a: np.ndarray, keys_b: np.ndarray, b: np.ndarray) -> float:
+    """The exact similarity of two weighted sets: the sum over common d of 1 / sum over e of max(a_e / a_d, b_e / b_d).
+
+    In order of b_e / a_e the maximum is a_e / a_d up to d and b_e / b_d after it, so running sums suffice.
+    """
+    if not len(keys_a) or not len(keys_b):
+        return float(not len(keys_a) and not len(keys_b))
+    keys, at = np.unique(np.concatenate((keys_a, keys_b)), return_inverse=True)
+    x, y = np.zeros(len(keys)), np.zeros(len(keys))
+    x[at[: len(keys_a)]], y[at[len(keys_a) :]] = a, b
+    ratio = np.divide(y, x, out=np.full(len(keys), np.inf), where=x > 0)
+    order = np.argsort(ratio, kind="stable")
+    x, y, ratio = x[order], y[order], ratio[order]
+    first = np.searchsorted(ratio, ratio, side="right")
+    upto, after = np.concatenate(([0], np.cumsum(x)))[first], np.concatenate((np.cumsum(y[::-1])[::-1], [0]))[first]
+    both = (x > 0) & (y > 0)
+    return float((1 / (upto[both] / x[both] + after[both] / y[both])).sum())
+
+
+SIGNED = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("repeats", T.BooleanType()),
+    T.StructField("bands", T.ArrayType(T.LongType())),
+])
+#: A key is joined apart from the rest from so many rows on, or from so small a share of all rows: at most 1,000 keys.
+HOT_ROWS, HOT_SHARE = 256, 0.001
 #: Nodes whose texts are fetched by a join that is sent to every executor, at most.
 SEND = 500_000
 
@@ -115,7 +154,7 @@ def node_key(words: list[str]) -> bytes:
 
 
 def signed(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, length: int = LENGTH) -> DataFrame:
-    """doc_id, the key of its words, its number of distinct shingles and its band hashes."""
+    """doc_id, the key of its words, its number of distinct shingles, whether any repeats, and its band hashes."""
 
     def make():
         def work(cols: dict) -> dict:
@@ -125,8 +164,11 @@ def signed(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
                 words = words_of(text)
                 key = node_key(words)
                 if key not in done:
-                    keys, _ = shingles(words, width)
-                    done[key] = (len(keys), band_hashes(signature(keys, np.ones(len(keys)), length), bands, rows).tolist() if len(keys) else [])
+                    keys, counts = shingles(words, width)
+                    repeats = bool((counts > 1).any())
+                    own = [np.ones(len(keys)), *([weighted(counts)] if repeats else [])] if len(keys) else []
+                    found = {b for w in own for b in band_hashes(signature(keys, w, length), bands, rows).tolist()}
+                    done[key] = (len(keys), repeats, sorted(found))
                 for n, v in zip(SIGNED.names, (doc, key, *done[key])):
                     out[n].append(v)
             return out
@@ -137,51 +179,83 @@ def signed(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
-    """node, size, grams of the nodes in `wanted` (node, key, rep): the texts of their first documents, shingled."""
+    """node, size, repeats, grams and, where any repeats, counts of the nodes in `wanted` (node, key, rep): the texts of their first documents, shingled."""
     none = F.lit(-(2**63))
     wanted = wanted.select("node", F.col("key").alias("node_key"), F.coalesce("rep", none).alias("id"))
     few = wanted.count() <= SEND
     rows = docs.select(F.coalesce("doc_id", none).alias("id"), "text").join(F.broadcast(wanted) if few else wanted, "id").drop("id")
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType()))])
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("repeats", T.BooleanType()), T.StructField("grams", longs), T.StructField("counts", longs)])
 
     def run(batches):
         for batch in batches:
-            node, grams = [], []
+            node, grams, counts = [], [], []
             for n, key, text in zip(*(batch.column(c).to_pylist() for c in ("node", "node_key", "text"))):
                 words = words_of(text)
                 if node_key(words) == key:
+                    keys, often = shingles(words, width)
                     node.append(n)
-                    grams.append(shingles(words, width)[0].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(list(map(len, grams)), pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=schema.names)
+                    grams.append(keys.view(np.int64))
+                    counts.append(often if (often > 1).any() else None)
+            many = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(list(map(len, grams)), pa.int32()), pa.array([c is not None for c in counts], pa.bool_()), pa.array(grams, many), pa.array(counts, many)], names=schema.names)
 
     return rows.mapInArrow(run, schema).dropDuplicates(["node"])
 
 
+def apart(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with table (key once each, n of the rows that have it): keys with very many rows are sent to every task.
+
+    The n add up to `total` at most, so there are at most 1 / HOT_SHARE such keys.
+    """
+    hot = table.where(F.col("n") >= max(HOT_ROWS, int(total * HOT_SHARE)))
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(table, key))
+
+
 def alike(common: Column, one: Column, other: Column, tenths: int) -> Column:
     """common / (one + other - common) >= tenths / 10, in integers."""
     return common * (10 + tenths) >= (one + other) * tenths
 
 
 def verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough."""
+    """The pairs (a, b, repeats) that are links, by their sets or, where either repeats a shingle, by the weighted sets."""
     left = sets.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("grams").alias("grams_a"))
     right = sets.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("grams").alias("grams_b"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.where(alike(F.size(F.array_intersect("grams_a", "grams_b")), F.col("size_a"), F.col("size_b"), tenths)).select("a", "b")
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
+    plain = joined.where(alike(F.size(F.array_intersect("grams_a", "grams_b")), F.col("size_a"), F.col("size_b"), tenths)).select("a", "b")
+    names = ("grams_a", "counts_a", "grams_b", "counts_b")
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("grams").alias(f"grams_{s}"), F.col("counts").alias(f"counts_{s}"))
+    some = pairs.where("repeats").select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", *names)
+
+    def run(batches):
+        for batch in batches:
+            good = []
+            for i in range(batch.num_rows):
+                keys_a, counts_a, keys_b, counts_b = (batch.column(n)[i].values.to_numpy() if batch.column(n)[i].is_valid else None for n in names)
+                x, y = (weighted(c) if c is not None else np.ones(len(k)) for k, c in ((keys_a, counts_a), (keys_b, counts_b)))
+                if probability_jaccard(keys_a, x, keys_b, y) >= tenths / 10 - 1e-12:
+                    good.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+
+    return plain.unionByName(some.mapInArrow(run, "a long, b long")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node that an edge (a, b) names: alternating large and small stars."""
+    spark = edges.sparkSession
     edges = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     state = _state(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(edges.join(least, "a").select("a", F.col("m").alias("b")))
-        large = large.where("a <> b").distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
-        edges = materialise(small.where("a <> b").distinct(), "edges")
+        total = 2 * (state[0] or 0)
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = apart(both.where("b > a"), least, "a", total).select(F.col("b").alias("a"), F.col("m").alias("b")).union(apart(edges, least, "a", total).select("a", F.col("m").alias("b")))
+        large = materialise(large.where("a <> b").distinct(), "edges")
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = apart(large, lowest, "a", total).select(F.col("b").alias("a"), F.col("m").alias("b")).union(lowest.select("a", F.col("m").alias("b")))
+        before, edges = edges, materialise(small.where("a <> b").distinct(), "edges")
+        discard(spark, before, large)
         if (now := _state(edges)) == state:
             break
         state = now
@@ -193,26 +267,39 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def prefix_pairs(rest: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
-    """Pairs of nodes of different classes that can be similar enough: an exact prefix filter.
+    """Pairs (a, b, repeats) of nodes of different classes that can be similar enough: an exact prefix filter.
 
     rest: node, class. Shingles are ordered from rare to frequent; two sets of the threshold must share one
     within the first places of both, and what follows that place must still suffice. The smaller set needs
     fewer places than the larger, so what is common to very many documents comes into play for few.
+
+    The probability Jaccard similarity is at most the share of either side's weight that is common, so two
+    weighted sets of the threshold share a shingle before either has passed the rest of its weight.
     """
-    grams = rest.join(sets, "node").select("node", "class", "size", F.explode("grams").alias("gram"))
+    grams = rest.join(sets, "node").select("node", "class", "size", "repeats", F.explode(F.arrays_zip("grams", F.coalesce("counts", F.array().cast("array<bigint>")).alias("counts"))).alias("g"))
+    grams = grams.select("node", "class", "size", "repeats", F.col("g.grams").alias("gram"), (1 + F.log(F.coalesce("g.counts", F.lit(1)))).alias("w"))
     often = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
-    sorted_grams = F.array_sort(F.collect_list(F.struct("n", "gram", (F.col("low") < F.col("high")).alias("mixed"))))
-    placed = grams.join(often, "gram").groupBy("node", "class", "size").agg(sorted_grams.alias("all"))
+    total = rest.join(sets.select("node", "size"), "node").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    sorted_grams = F.array_sort(F.collect_list(F.struct("n", "gram", (F.col("low") < F.col("high")).alias("mixed"), "w")))
+    placed = apart(grams, often, "gram", total).groupBy("node", "class", "size", "repeats").agg(sorted_grams.alias("all"), F.sum("w").alias("mass"))
     size = F.col("size").cast("long")
     probe = size - F.floor((size * tenths + 9) / 10) + 1
     index = size - F.floor((size * 2 * tenths + 9 + tenths) / (10 + tenths)) + 1
-    entries = placed.select("node", "class", "size", index.alias("index"), F.posexplode(F.slice("all", F.lit(1), probe.cast("int"))).alias("at", "g")).where("g.mixed")
-    entries = materialise(entries.select("node", "class", "size", "index", "at", F.col("g.gram").alias("gram")), "prefixes")
-    x, y = entries.where(F.col("at") < F.col("index")).alias("x"), entries.alias("y")
+    start = F.struct(F.lit(0.0).alias("passed"), F.lit(0).cast("long").alias("places"))
+    spare = F.col("mass") * (10 - tenths) / 10 + 1e-9
+    passing = F.aggregate("all", start, lambda s, g: F.when(s["passed"] <= spare, F.struct((s["passed"] + g["w"]).alias("passed"), (s["places"] + 1).alias("places"))).otherwise(s))
+    places = F.when(F.col("repeats"), F.greatest(probe, passing["places"])).otherwise(probe)
+    entries = placed.select("node", "class", "size", "repeats", index.alias("index"), probe.alias("probe"), F.posexplode(F.slice("all", F.lit(1), places.cast("int"))).alias("at", "g")).where("g.mixed")
+    entries = materialise(entries.select("node", "class", "size", "repeats", "index", "probe", "at", F.col("g.gram").alias("gram")), "prefixes")
+    x, y = entries.where(F.col("at") < F.col("index")).alias("x"), entries.where(F.col("at") < F.col("probe")).alias("y")
     order = (F.col("x.size") < F.col("y.size")) | (F.col("x.size") == F.col("y.size")) & (F.col("x.node") < F.col("y.node"))
     left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))
     met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") != F.col("y.class")) & order & alike(left, F.col("x.size"), F.col("y.size"), tenths))
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    plain = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), (F.col("x.repeats") | F.col("y.repeats")).alias("repeats"))
+    x, y = entries.where("repeats").alias("x"), entries.alias("y")
+    met = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") != F.col("y.class")) & (~F.col("y.repeats") | (F.col("x.node") < F.col("y.node"))))
+    heavy = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.lit(True).alias("repeats"))
+    return plain.unionByName(heavy).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "repeats").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -224,27 +311,32 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     """doc_id, the key of its words, the node that names its class and class_id of every row."""
     tenths = round(threshold * 10)
     signs = materialise(signed(docs, width, bands, rows), "signatures")
-    nodes = signs.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = signs.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("repeats").alias("repeats"), F.first("bands").alias("bands"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    entries = nodes.select("node", "size", F.explode("bands").alias("band"))
-    hubs = entries.groupBy("band").agg(
-        F.count("*").alias("n"), F.min("node").alias("low"), F.min_by("size", "node").alias("low_size"), F.max("node").alias("high"), F.max_by("size", "node").alias("high_size")
-    ).where("n > 1")
-    members = materialise(entries.join(hubs.drop("n"), "band"), "members")
-    fits = lambda other: F.least("size", other) * 10 >= F.greatest("size", other) * tenths
-    low = members.where((F.col("node") != F.col("low")) & fits("low_size")).select(F.col("low").alias("a"), F.col("node").alias("b"))
-    high = members.where((F.col("node") != F.col("high")) & (F.col("node") != F.col("low")) & fits("high_size")).select(F.col("node").alias("a"), F.col("high").alias("b"))
-    pairs = low.union(high).distinct()
+    total = nodes.agg(F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()[0]
+    entries = nodes.select("node", "size", "repeats", F.explode("bands").alias("band"))
+    hub = F.struct("size", "repeats")
+    hubs = entries.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.min_by(hub, "node").alias("low_hub"), F.max("node").alias("high"), F.max_by(hub, "node").alias("high_hub")).where("n > 1")
+    members = materialise(apart(entries, hubs, "band", total).drop("n"), "members")
+
+    def held(side: str) -> DataFrame:
+        other, repeats = F.col(f"{side}_hub")["size"], F.col("repeats") | F.col(f"{side}_hub")["repeats"]
+        fits = repeats | (F.least("size", other) * 10 >= F.greatest("size", other) * tenths)
+        met = members.where((F.col("node") != F.col(side)) & (F.lit(side == "low") | (F.col("node") != F.col("low"))) & fits)
+        return met.select(F.least("node", side).alias("a"), F.greatest("node", side).alias("b"), repeats.alias("repeats"))
+
+    pairs = held("low").union(held("high")).distinct()
     sets = materialise(shingle_sets(docs, nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "key", "rep"), width), "sets")
     edges = materialise(verified(pairs, sets, tenths), "links")
     classes = materialise(components(edges), "classes")
     known = members.select("band", "node").join(classes, "node", "left").select("band", "node", F.coalesce("root", "node").alias("class"))
-    mixed = known.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band")
-    rest = materialise(known.join(mixed, "band", "left_semi").select("node", "class").distinct(), "rest")
+    mixed = known.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band", "n")
+    rest = materialise(apart(known, mixed, "band", total).select("node", "class").distinct(), "rest")
     more = materialise(verified(prefix_pairs(rest, sets, tenths), sets, tenths), "links")
     roots = classes.select(F.col("node").alias("a"), F.col("root").alias("b"))
     if not more.isEmpty():
         classes = materialise(components(roots.union(more)), "classes")
+    discard(docs.sparkSession, members, sets, edges, rest, more)
     named = nodes.select("node", "key", "rep").join(classes, "node", "left").select("key", "rep", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     return signs.select("doc_id", "key").join(named.join(least, "root").select("key", "root", "class_id"), "key").select("doc_id", "key", "root", "class_id")
