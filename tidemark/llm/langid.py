@@ -135,6 +135,11 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, most: int = PROFILE
     return profiles
 
 
+def any_letter(column: str) -> Column:
+    """Whether the text of a column has a letter, as has_letter tells, up to letters newer than one side's tables."""
+    return F.coalesce(F.col(column).rlike(r"\p{L}"), F.lit(False))
+
+
 class Judge:
     """Compares documents to the profiles."""
 
