@@ -128,7 +128,33 @@ def test_top_k_is_brute_force(spark):
 
 def test_top_k_beyond_doubles():
     big = np.array([[2.0**40, 1.0], [2.0**40, 3.0]])
-    assert topk.search(big, np.array([1, 2]), np.array([1, 2]), big[:1], np.array([9]), 1) == [[(2**63 - 1, 2)]]  # ranked before it is held to a long
+    found = topk.search(big, np.array([1, 2]), np.array([1, 2]), big[:1], np.array([9]), 2)
+    assert found == [[(None, 2, float(2**80 + 3)), (None, 1, float(2**80 + 1))]]  # ranked exactly, no false score
+    assert topk.search(np.array([[2.0**52]]), np.array([1]), np.array([1]), np.array([[2.0]]), np.array([9]), 1) == [[(2**53, 1, 2.0**53)]]
+
+
+def test_sorted_lists_stop_early():
+    """Brute force, and how much is read: of clustered vectors little, of plain ones less than all."""
+    rng = np.random.default_rng(7)
+    centres = 3 * rng.normal(size=(12, 64))
+    tables = {"clustered": centres[rng.integers(0, 12, 3000)] + 0.5 * rng.normal(size=(3000, 64)), "plain": rng.normal(size=(3000, 64)), "few dimensions": rng.normal(size=(3000, 6))}
+    share = {}
+    for name, v in tables.items():
+        w = np.floor(256 * v)
+        w[5] = w[6] = w[7]
+        ids, queries = np.arange(3000), np.arange(0, 3000, 100)
+        reads = topk.Reads()
+        found = topk.search(w, ids, ids, w[queries], queries, 5, reads)
+        for q, best in zip(queries, found):
+            scores = w @ w[q]
+            want = sorted((-int(s), int(i)) for i, s in zip(ids, scores) if i != q)[:5]
+            assert [(-s, i) for s, i, _ in best] == want
+        share[name] = reads.read / reads.entries
+        assert reads.resolved < 0.1 * 3000 * len(queries)
+        if name == "clustered":
+            assert reads.skipped > 0.5 * reads.clusters
+    print(share)
+    assert share["clustered"] < 0.2 and share["plain"] < 0.9 and share["few dimensions"] < 0.5
 
 
 def test_separator_scan(spark, docs, tmp_path):

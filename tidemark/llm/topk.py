@@ -1,24 +1,29 @@
 """Exact top-k search by inner product: no-random-access aggregation over sorted lists.
 
-Candidates lie in blocks. A block holds, for each dimension, its vectors in order of that component; a
-query reads a list from the end where its own component makes the contribution largest. After reading a
-prefix of every list, a vector's score lies between the sum of the contributions seen plus, for lists in
-which it was not met, the least contribution of the list (lower bound) or the contribution at the
-reading point (upper bound). Reading goes on until fewer vectors than a small multiple of k have an upper
-bound at or above the k-th largest lower bound; outsiders cannot qualify. The scores of those left are
-then resolved. Bounds of all queries of a block are matrix products over what is seen so far.
+Candidates lie in cells, and within a cell in clusters of like vectors. A cluster holds, for each dimension,
+its vectors in order of that component; a query reads a list from the end where its own component makes the
+contribution largest. Once a part of the lists is read, a vector's score lies between the sum of the
+contributions met plus, for lists in which it was not met yet, the least contribution of the list (lower
+bound) or the contribution at the reading point (upper bound). In each round those lists are read on whose
+unread part leaves the scores most open. A vector whose upper bound is below the k-th best of the exact
+scores and lower bounds so far is out; reading stops once few vectors are left, and their scores are
+resolved. Clusters are taken in order of what their list heads allow; where even the heads cannot reach the
+k-th best score, that cluster and all after it are never read.
 
 Queries and candidates meet in cells of one candidate block and one query block, so a task's memory is
 constant; each cell passes on at most k rows a query, and the best of these are the answer.
 
-Vectors that are null, empty, or hold null or non-finite components take no part. Only vectors of the
-query's length are candidates. A query's own row is left out, other rows of the same id are not. Ties go
-to the smaller vec_id. Where integers are too large for exact doubles, scores are computed with Python
-integers and held to the range of a long.
+Vectors that are null, empty, or hold null or non-finite components take no part, nor do those with a null
+vec_id. Only vectors of the query's length are candidates. A query's own row is left out, other rows of the
+same id are not. Ties go to the smaller vec_id. Where integers are too large for exact doubles, scores are
+computed with Python integers; one beyond the range of a long is null and ranked by its value as a double.
+Further columns take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -26,85 +31,120 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Candidates and queries of a cell; shares of the lists read before each test.
-BLOCK, QUERY_BLOCK, DEPTHS = 4096, 1024, (0.25, 0.5, 0.75)
+#: Candidates and queries of a cell; vectors of a cluster; vectors left, times k, that are resolved; parts in which a list is read.
+BLOCK, QUERY_BLOCK, CLUSTER, LEFT, PARTS = 4096, 1024, 512, 4, 8
+
+OUT = T.StructType([T.StructField("row", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType()), T.StructField("size", T.DoubleType())])
+
+
+@dataclass
+class Reads:
+    """What a search read: list entries there were, entries read, clusters there were, clusters never read, scores resolved."""
 
-OUT = T.StructType([T.StructField("row", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+    entries: int = 0
+    read: int = 0
+    clusters: int = 0
+    skipped: int = 0
+    resolved: int = 0
 
 
 class SortedLists:
-    """A block's vectors with one sorted list a dimension."""
+    """A cluster's vectors with one sorted list a dimension."""
 
-    def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
-        n, dims = vectors.shape
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray):
+        self.vectors, self.ids, self.rows = vectors, ids, rows
         order = np.argsort(-vectors, axis=0, kind="stable")
         self.sorted = np.take_along_axis(vectors, order, axis=0)
         self.place = np.empty_like(order)
-        np.put_along_axis(self.place, order, np.arange(n)[:, None], axis=0)
-
-    def bounds(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds, queries by vectors, once `depth` entries of every list are read."""
-        n = len(self.vectors)
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        from_top, from_end = self.place < depth, self.place >= n - depth
-        seen = up @ (self.vectors * from_top).T + down @ (self.vectors * from_end).T
-        front = (up * self.sorted[depth - 1]) @ (~from_top).T + (down * self.sorted[n - depth]) @ (~from_end).T
-        least = (up * self.sorted[-1]) @ (~from_top).T + (down * self.sorted[0]) @ (~from_end).T
-        return seen + least, seen + front
-
-
-def search(vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, query_rows: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-    """For each query its k best (score, id) of the block, best first."""
-    n, dims = vectors.shape
-    largest = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, dims)
-    if largest >= 2**52:
-        return [_exact(vectors, ids, rows, q, r, k) for q, r in zip(queries, query_rows)]
-    lists = SortedLists(vectors)
-    open_for = np.ones((len(queries), n), bool)
-    open_for &= rows[None, :] != query_rows[:, None]
-    going = np.arange(len(queries))
-    for share in DEPTHS:
-        depth = int(n * share)
-        if depth < 1 or n <= 4 * k or not len(going):
-            continue
-        low, high = lists.bounds(queries[going], depth)
-        mine = open_for[going]
-        low[~mine] = -np.inf
-        bar = np.partition(low, n - k, axis=1)[:, n - k]
-        mine &= high >= bar[:, None]
-        open_for[going] = mine
-        going = going[mine.sum(1) > 8 * k]
-    found: list[list[tuple[int, int]]] = [[] for _ in queries]
-    whole = np.full(len(queries), False)
-    whole[going] = True
-    if len(going):  # read to the end: both bounds are the score
-        scores = queries[going] @ vectors.T
-        scores[~open_for[going]] = -np.inf
-        for i, s in zip(going.tolist(), scores):
-            bar = np.partition(s, max(0, n - k))[max(0, n - k)]
-            found[i] = _best(s, ids, np.flatnonzero((s >= bar) & np.isfinite(s)), k)
-    for i in np.flatnonzero(~whole).tolist():
-        left = np.flatnonzero(open_for[i])
-        found[i] = _best(vectors @ queries[i] if len(left) > n // 2 else _scatter(vectors, left, queries[i], n), ids, left, k)
+        np.put_along_axis(self.place, order, np.arange(len(vectors))[:, None], axis=0)
+
+    def best(self, query: np.ndarray, own: int, known: np.ndarray, k: int, reads: Reads) -> np.ndarray:
+        """Places of the vectors that can be among the k best, beside the scores already known."""
+        n, dims = self.vectors.shape
+        turned = query < 0
+        lists = np.where(turned, self.sorted[::-1], self.sorted) * query  # contributions, largest first
+        places = np.where(turned, n - 1 - self.place, self.place)
+        alive = np.flatnonzero(self.rows != own)
+        parts, gains = places[alive], self.vectors[alive] * query
+        least, every = lists[-1], np.arange(dims)
+        depth, step = np.zeros(dims, np.int64), max(1, -(-n // PARTS))
+        while len(alive) > LEFT * k and (depth < n).any():
+            gap = np.where(depth < n, lists[np.maximum(depth - 1, 0), every] - least, -1.0)
+            on = gap >= 0.5 * gap.max()
+            further = np.minimum(n, depth + step * on)
+            reads.read += int((further - depth).sum())
+            depth = further
+            met = parts < depth
+            front = lists[depth - 1, every] * (depth > 0) + lists[0] * (depth == 0)
+            seen = np.where(met, gains, 0.0)
+            low, high = (seen + np.where(met, 0.0, least)).sum(1), (seen + np.where(met, 0.0, front)).sum(1)
+            bars = np.concatenate((known, low))
+            if len(bars) > k:
+                stay = high >= np.partition(bars, len(bars) - k)[len(bars) - k]
+                if not stay.all():
+                    alive, parts, gains = alive[stay], parts[stay], gains[stay]
+        return alive
+
+
+def clusters(vectors: np.ndarray, size: int = CLUSTER) -> list[np.ndarray]:
+    """Places of like vectors together, `size` at most: each goes with the likest of a few far apart ones."""
+    n = len(vectors)
+    if n <= size:
+        return [np.arange(n)]
+    lengths = np.sqrt((vectors**2).sum(1))
+    unit = vectors / np.where(lengths > 0, lengths, 1)[:, None]
+    chosen, near = [0], unit @ unit[0]
+    while len(chosen) < 2 * -(-n // size):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, unit @ unit[chosen[-1]])
+    home = (unit @ unit[chosen].T).argmax(1)
+    found = []
+    for c in range(len(chosen)):
+        mine = np.flatnonzero(home == c)
+        found += [mine[i : i + size] for i in range(0, len(mine), size)]
     return found
 
 
-def _scatter(vectors: np.ndarray, left: np.ndarray, query: np.ndarray, n: int) -> np.ndarray:
-    scores = np.empty(n)
-    scores[left] = vectors[left] @ query
-    return scores
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, left: np.ndarray, k: int) -> list[tuple[int, int]]:
-    order = left[np.lexsort((ids[left], -scores[left]))][:k]
-    return [(int(scores[i]), int(ids[i])) for i in order]
-
-
-def _exact(vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+def search(vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, query_rows: np.ndarray, k: int, reads: Reads | None = None) -> list[list[tuple[int | None, int, float]]]:
+    """For each query its k best (score, id, score as a double) of the block, best first."""
+    reads = Reads() if reads is None else reads
+    largest = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, vectors.shape[1])
+    if largest >= 2**52:
+        return [_exact(vectors, ids, rows, q, r, k) for q, r in zip(queries, query_rows)]
+    found = [SortedLists(vectors[c], ids[c], rows[c]) for c in clusters(vectors)]
+    heads, tails = (np.array([c.sorted[i] for c in found]) for i in (0, -1))
+    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    allowed = up @ heads.T + down @ tails.T
+    out = []
+    for query, own, most in zip(queries, query_rows.tolist(), allowed):
+        best: list[tuple[float, int]] = []  # (-score, id)
+        reads.entries += vectors.size
+        reads.clusters += len(found)
+        order = np.argsort(-most, kind="stable")
+        for at, c in enumerate(order.tolist()):
+            if len(best) == k and most[c] < -best[-1][0]:
+                reads.skipped += len(order) - at
+                break
+            some = found[c]
+            left = some.best(query, own, np.array([-s for s, _ in best]), k, reads)
+            reads.resolved += len(left)
+            scores = some.vectors[left] @ query
+            best = sorted([*best, *zip((-scores).tolist(), some.ids[left].tolist())])[:k]
+        out.append([(int(-s), i, -s) for s, i in best])
+    return out
+
+
+def _exact(vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, query: np.ndarray, own: int, k: int) -> list[tuple[int | None, int, float]]:
     q = [int(x) for x in query]
     scored = [(-sum(int(a) * b for a, b in zip(v, q)), int(i)) for v, i, r in zip(vectors, ids, rows) if r != own]
-    return [(max(-(2**63), min(2**63 - 1, -s)), i) for s, i in sorted(scored)[:k]]
+    return [(-s if -(2**63) <= -s < 2**63 else None, i, _double(-s)) for s, i in sorted(scored)[:k]]
+
+
+def _double(x: int) -> float:
+    try:
+        return float(x)
+    except OverflowError:
+        return float("inf") if x > 0 else float("-inf")
 
 
 def scaled(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -135,13 +175,13 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, block: int = BLOCK, q
             c_rows, c_ids, c = matrix(candidates, dims)
             q_rows, q_ids, q = matrix(queries, dims)
             for row, query_id, best in zip(q_rows.tolist(), q_ids.tolist(), search(c, c_ids, c_rows, q, q_rows, k)):
-                for score, vec_id in best:
-                    for n, v in zip(OUT.names, (row, query_id, vec_id, score)):
+                for score, vec_id, size in best:
+                    for n, v in zip(OUT.names, (row, query_id, vec_id, score, size)):
                         out[n].append(v)
-        return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
+        return pa.table({n: pa.array(v, pa.float64() if n == "size" else pa.int64()) for n, v in out.items()})
 
     partial = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(run, OUT)
-    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("row").orderBy(F.desc("size"), F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
