@@ -338,8 +338,11 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
         classes = materialise(components(roots.union(more)), "classes")
     discard(docs.sparkSession, members, sets, edges, rest, more)
     named = nodes.select("node", "key", "rep").join(classes, "node", "left").select("key", "rep", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    return signs.select("doc_id", "key").join(named.join(least, "root").select("key", "root", "class_id"), "key").select("doc_id", "key", "root", "class_id")
+    named = materialise(named, "named")
+    least = named.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n"))
+    known = apart(named, least, "root", named.count()).select("key", "root", "class_id")
+    copies = signs.groupBy("key").agg(F.count("*").alias("n"))  # a text with very many copies is one key
+    return apart(signs.select("doc_id", "key"), known.join(copies, "key"), "key", signs.count()).select("doc_id", "key", "root", "class_id")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -357,8 +360,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each class: the least doc_id, null last; of rows that share it, the least key of the words."""
     rows = materialise(classified(docs).select("doc_id", "key", "root"), "rows")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"))
-    other = rows.join(first, "root").where("doc_id is not null and (first.doc_id is null or first.doc_id <> doc_id or first.key <> key)").select("doc_id")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"), F.count("*").alias("n"))
+    other = apart(rows, first, "root", rows.count()).where("doc_id is not null and (first.doc_id is null or first.doc_id <> doc_id or first.key <> key)").select("doc_id")
     again = materialise(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").select("doc_id"), "again")
     gone = materialise(other.union(again.where("doc_id is not null")).distinct(), "gone")
     left = docs.where("doc_id is not null").join(F.broadcast(gone) if gone.count() <= SEND else gone, "doc_id", "left_anti").select(*docs.columns)
