@@ -4,11 +4,11 @@ Candidates lie in cells, and within a cell in clusters of like vectors. A cluste
 its vectors in order of that component; a query reads a list from the end where its own component makes the
 contribution largest. Once a part of the lists is read, a vector's score lies between the sum of the
 contributions met plus, for lists in which it was not met yet, the least contribution of the list (lower
-bound) or the contribution at the reading point (upper bound). In each round those lists are read on whose
-unread part leaves the scores most open. A vector whose upper bound is below the k-th best of the exact
-scores and lower bounds so far is out; reading stops once few vectors are left, and their scores are
-resolved. Clusters are taken in order of what their list heads allow; where even the heads cannot reach the
-k-th best score, that cluster and all after it are never read.
+bound) or the contribution at the reading point (upper bound). A vector whose upper bound is below the k-th
+best of the exact scores and lower bounds so far is out. No upper bound is below the sum of the
+contributions at the reading points, so a query reads on, part by part, until that sum is below its k-th best,
+and only then looks at its vectors; reading stops once few are left, and their scores are resolved. Clusters
+whose list heads cannot reach a query's k-th best are never read for it.
 
 Queries and candidates meet in cells of one candidate block and one query block, so a task's memory is
 constant; each cell passes on at most k rows a query, and the best of these are the answer.
@@ -31,8 +31,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Candidates and queries of a cell; vectors of a cluster; vectors left, times k, that are resolved; parts in which a list is read.
-BLOCK, QUERY_BLOCK, CLUSTER, LEFT, PARTS = 4096, 1024, 512, 4, 8
+#: Candidates and queries of a cell; vectors of a cluster; vectors left, times k, that are resolved; parts in which lists are read.
+BLOCK, QUERY_BLOCK, CLUSTER, LEFT, PARTS = 4096, 1024, 512, 4, 16
+#: Partitions of the cells, at most.
+MOST_PARTS = 20_000
 
 OUT = T.StructType([T.StructField("row", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType()), T.StructField("size", T.DoubleType())])
 
@@ -58,32 +60,46 @@ class SortedLists:
         self.place = np.empty_like(order)
         np.put_along_axis(self.place, order, np.arange(len(vectors))[:, None], axis=0)
 
-    def best(self, query: np.ndarray, own: int, known: np.ndarray, k: int, reads: Reads) -> np.ndarray:
-        """Places of the vectors that can be among the k best, beside the scores already known."""
+    def reach(self, up: np.ndarray, down: np.ndarray, depth: int) -> np.ndarray:
+        """By query the sum of the contributions at the reading points, once `depth` entries of every list are read."""
+        return up @ self.sorted[max(0, depth - 1)] + down @ self.sorted[len(self.vectors) - max(1, depth)]
+
+    def bounds(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds, queries by vectors, by what is read of the lists."""
+        n = len(self.vectors)
+        top, end = self.place < depth, self.place >= n - depth
+        seen = up @ (self.vectors * top).T + down @ (self.vectors * end).T
+        front = (up * self.sorted[depth - 1]) @ (~top).T + (down * self.sorted[n - depth]) @ (~end).T
+        least = (up * self.sorted[-1]) @ (~top).T + (down * self.sorted[0]) @ (~end).T
+        return seen + least, seen + front
+
+    def left(self, queries: np.ndarray, own: np.ndarray, known: np.ndarray, k: int, reads: Reads) -> list[np.ndarray]:
+        """By query the places of the vectors that can be among the k best, beside the scores already known (k a query, -inf where fewer)."""
         n, dims = self.vectors.shape
-        turned = query < 0
-        lists = np.where(turned, self.sorted[::-1], self.sorted) * query  # contributions, largest first
-        places = np.where(turned, n - 1 - self.place, self.place)
-        alive = np.flatnonzero(self.rows != own)
-        parts, gains = places[alive], self.vectors[alive] * query
-        least, every = lists[-1], np.arange(dims)
-        depth, step = np.zeros(dims, np.int64), max(1, -(-n // PARTS))
-        while len(alive) > LEFT * k and (depth < n).any():
-            gap = np.where(depth < n, lists[np.maximum(depth - 1, 0), every] - least, -1.0)
-            on = gap >= 0.5 * gap.max()
-            further = np.minimum(n, depth + step * on)
-            reads.read += int((further - depth).sum())
-            depth = further
-            met = parts < depth
-            front = lists[depth - 1, every] * (depth > 0) + lists[0] * (depth == 0)
-            seen = np.where(met, gains, 0.0)
-            low, high = (seen + np.where(met, 0.0, least)).sum(1), (seen + np.where(met, 0.0, front)).sum(1)
-            bars = np.concatenate((known, low))
-            if len(bars) > k:
-                stay = high >= np.partition(bars, len(bars) - k)[len(bars) - k]
-                if not stay.all():
-                    alive, parts, gains = alive[stay], parts[stay], gains[stay]
-        return alive
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        alive = self.rows[None, :] != own[:, None]
+        bars = known.min(1)
+        going = np.arange(len(queries))
+        for part in range(1, PARTS + 1):
+            depth = -(-n * part // PARTS)
+            reads.read += len(going) * dims * (depth - -(-n * (part - 1) // PARTS))
+            if depth < n:  # an upper bound can be below the bar only where the reading points are
+                look = going[(self.reach(up[going], down[going], depth) < bars[going]) | np.isneginf(bars[going]) & (2 * depth >= n)]
+            else:
+                look = going
+            if not len(look):
+                continue
+            low, high = self.bounds(up[look], down[look], depth)
+            low[~alive[look]] = -np.inf
+            both = np.concatenate((known[look], low), axis=1)
+            bars[look] = np.maximum(bars[look], np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k])
+            alive[look] &= high >= bars[look][:, None]
+            done = np.zeros(len(queries), bool)
+            done[look] = alive[look].sum(1) <= LEFT * k
+            going = going[~done[going]]
+            if not len(going):
+                break
+        return [np.flatnonzero(a) for a in alive]
 
 
 def clusters(vectors: np.ndarray, size: int = CLUSTER) -> list[np.ndarray]:
@@ -113,25 +129,27 @@ def search(vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, queries: np.n
         return [_exact(vectors, ids, rows, q, r, k) for q, r in zip(queries, query_rows)]
     found = [SortedLists(vectors[c], ids[c], rows[c]) for c in clusters(vectors)]
     heads, tails = (np.array([c.sorted[i] for c in found]) for i in (0, -1))
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    allowed = up @ heads.T + down @ tails.T
-    out = []
-    for query, own, most in zip(queries, query_rows.tolist(), allowed):
-        best: list[tuple[float, int]] = []  # (-score, id)
-        reads.entries += vectors.size
-        reads.clusters += len(found)
-        order = np.argsort(-most, kind="stable")
-        for at, c in enumerate(order.tolist()):
-            if len(best) == k and most[c] < -best[-1][0]:
-                reads.skipped += len(order) - at
-                break
-            some = found[c]
-            left = some.best(query, own, np.array([-s for s, _ in best]), k, reads)
+    allowed = np.maximum(queries, 0) @ heads.T + np.minimum(queries, 0) @ tails.T
+    reads.entries += vectors.size * len(queries)
+    reads.clusters += len(found) * len(queries)
+    best: list[list[tuple[float, int]]] = [[] for _ in queries]  # (-score, id)
+    known = np.full((len(queries), k), -np.inf)
+    # the cluster that promises most to a query comes first for it, then the others in common order
+    order = np.argsort(-allowed.mean(0), kind="stable").tolist()
+    first = allowed.argmax(1)
+    turns = [(c, np.flatnonzero(first == c)) for c in range(len(found))] + [(c, np.flatnonzero(first != c)) for c in order]
+    for c, asked in turns:
+        some = found[c]
+        reads.skipped += int((allowed[asked, c] < known[asked].min(1)).sum())
+        asked = asked[allowed[asked, c] >= known[asked].min(1)]
+        if not len(asked):
+            continue
+        for i, left in zip(asked.tolist(), some.left(queries[asked], query_rows[asked], known[asked], k, reads)):
             reads.resolved += len(left)
-            scores = some.vectors[left] @ query
-            best = sorted([*best, *zip((-scores).tolist(), some.ids[left].tolist())])[:k]
-        out.append([(int(-s), i, -s) for s, i in best])
-    return out
+            scores = some.vectors[left] @ queries[i]
+            best[i] = sorted([*best[i], *zip((-scores).tolist(), some.ids[left].tolist())])[:k]
+            known[i, : len(best[i])] = [-s for s, _ in best[i]]
+    return [[(int(-s), i, -s) for s, i in b] for b in best]
 
 
 def _exact(vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray, query: np.ndarray, own: int, k: int) -> list[tuple[int | None, int, float]]:
@@ -166,8 +184,10 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, block: int = BLOCK, q
     blocks, query_blocks = max(1, -(-total // block)), max(1, -(-asked // query_block))
     cell = lambda column, n, seed: F.pmod(F.xxhash64(F.lit(seed), column), F.lit(n)).cast("int")
     every_query_block, every_block = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (query_blocks, blocks))
-    left = rows.withColumn("b", cell(F.col("row"), blocks, 1)).withColumn("q", every_query_block)
-    right = rows.where(F.col("vec_id") % every == 0).withColumn("q", cell(F.col("row"), query_blocks, 2)).withColumn("b", every_block)
+    # a cell is little data and much work: as many partitions as cells, which are not put together by their size
+    parts = min(blocks * query_blocks, MOST_PARTS)
+    left = rows.withColumn("b", cell(F.col("row"), blocks, 1)).withColumn("q", every_query_block).repartition(parts, "b", "q")
+    right = rows.where(F.col("vec_id") % every == 0).withColumn("q", cell(F.col("row"), query_blocks, 2)).withColumn("b", every_block).repartition(parts, "b", "q")
 
     def run(_, candidates, queries):
         out: dict[str, list] = {n: [] for n in OUT.names}
