@@ -143,8 +143,8 @@ SIGNED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("repeats", T.BooleanType()),
     T.StructField("bands", T.ArrayType(T.LongType())),
 ])
-#: A key is joined apart from the rest from so many rows on, or from so small a share of all rows: at most 1,000 keys.
-HOT_ROWS, HOT_SHARE = 256, 0.001
+#: A key counts as very frequent from so many rows and such a share of all rows on: 1,000 keys at most. Tasks for each.
+HOT_ROWS, HOT_SHARE, SALTS = 256, 0.001, 32
 #: Nodes whose texts are fetched by a join that is sent to every executor, at most.
 SEND = 500_000
 
@@ -204,13 +204,16 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> Data
 
 
 def apart(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined with table (key once each, n of the rows that have it): keys with very many rows are sent to every task.
+    """rows joined with table (key once each, n of the rows that have it): the rows of a very frequent key are dealt to SALTS tasks.
 
-    The n add up to `total` at most, so there are at most 1 / HOT_SHARE such keys.
+    The n add up to `total` at most, so there are at most 1 / HOT_SHARE such keys to be told to every task.
     """
-    hot = table.where(F.col("n") >= max(HOT_ROWS, int(total * HOT_SHARE)))
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(cold.join(table, key))
+    many = F.col("n") >= max(HOT_ROWS, int(total * HOT_SHARE))
+    told = F.broadcast(table.where(many).select(key, F.lit(True).alias("__hot")))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = rows.join(told, key, "left").withColumn("__salt", salt).drop("__hot")
+    spread = table.withColumn("__salt", F.explode(F.when(many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(spread, [key, "__salt"]).drop("__salt")
 
 
 def alike(common: Column, one: Column, other: Column, tenths: int) -> Column:
@@ -279,9 +282,8 @@ def prefix_pairs(rest: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     grams = rest.join(sets, "node").select("node", "class", "size", "repeats", F.explode(F.arrays_zip("grams", F.coalesce("counts", F.array().cast("array<bigint>")).alias("counts"))).alias("g"))
     grams = grams.select("node", "class", "size", "repeats", F.col("g.grams").alias("gram"), (1 + F.log(F.coalesce("g.counts", F.lit(1)))).alias("w"))
     often = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
-    total = rest.join(sets.select("node", "size"), "node").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     sorted_grams = F.array_sort(F.collect_list(F.struct("n", "gram", (F.col("low") < F.col("high")).alias("mixed"), "w")))
-    placed = apart(grams, often, "gram", total).groupBy("node", "class", "size", "repeats").agg(sorted_grams.alias("all"), F.sum("w").alias("mass"))
+    placed = grams.join(often, "gram").groupBy("node", "class", "size", "repeats").agg(sorted_grams.alias("all"), F.sum("w").alias("mass"))
     size = F.col("size").cast("long")
     probe = size - F.floor((size * tenths + 9) / 10) + 1
     index = size - F.floor((size * 2 * tenths + 9 + tenths) / (10 + tenths)) + 1
@@ -315,12 +317,14 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     total = nodes.agg(F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()[0]
     entries = nodes.select("node", "size", "repeats", F.explode("bands").alias("band"))
-    hub = F.struct("size", "repeats")
-    hubs = entries.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.min_by(hub, "node").alias("low_hub"), F.max("node").alias("high"), F.max_by(hub, "node").alias("high_hub")).where("n > 1")
+    # size and repeats of a hub in one number, for the aggregation to stay one of hashes
+    about = F.col("size") * 2 + F.col("repeats").cast("int")
+    hubs = entries.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.min_by(about, "node").alias("low_about"), F.max("node").alias("high"), F.max_by(about, "node").alias("high_about")).where("n > 1")
+    hubs = materialise(hubs, "hubs")
     members = materialise(apart(entries, hubs, "band", total).drop("n"), "members")
 
     def held(side: str) -> DataFrame:
-        other, repeats = F.col(f"{side}_hub")["size"], F.col("repeats") | F.col(f"{side}_hub")["repeats"]
+        other, repeats = F.floor(F.col(f"{side}_about") / 2), F.col("repeats") | (F.col(f"{side}_about") % 2 == 1)
         fits = repeats | (F.least("size", other) * 10 >= F.greatest("size", other) * tenths)
         met = members.where((F.col("node") != F.col(side)) & (F.lit(side == "low") | (F.col("node") != F.col("low"))) & fits)
         return met.select(F.least("node", side).alias("a"), F.greatest("node", side).alias("b"), repeats.alias("repeats"))
@@ -330,13 +334,13 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     edges = materialise(verified(pairs, sets, tenths), "links")
     classes = materialise(components(edges), "classes")
     known = members.select("band", "node").join(classes, "node", "left").select("band", "node", F.coalesce("root", "node").alias("class"))
-    mixed = known.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band", "n")
+    mixed = materialise(known.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band", "n"), "mixed")
     rest = materialise(apart(known, mixed, "band", total).select("node", "class").distinct(), "rest")
     more = materialise(verified(prefix_pairs(rest, sets, tenths), sets, tenths), "links")
     roots = classes.select(F.col("node").alias("a"), F.col("root").alias("b"))
     if not more.isEmpty():
         classes = materialise(components(roots.union(more)), "classes")
-    discard(docs.sparkSession, members, sets, edges, rest, more)
+    discard(docs.sparkSession, hubs, members, mixed, sets, edges, rest, more)
     named = nodes.select("node", "key", "rep").join(classes, "node", "left").select("key", "rep", F.coalesce("root", "node").alias("root"))
     named = materialise(named, "named")
     least = named.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("n"))
