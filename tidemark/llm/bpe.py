@@ -131,22 +131,40 @@ class Transducer:
         if len(self.young) > CACHED:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = []
-        for c in chunks:
-            if c in young:
-                continue
-            if (known := old.get(c)) is not None:
-                young[c] = known
+        missing = chunks.difference(young)
+        if old and (back := missing.intersection(old)):
+            young.update((c, old[c]) for c in back)
+            missing -= back
+        if not missing:
+            return
+        if not self.drops_space:  # chunks are pre-tokens in normal form
+            listed = list(missing)
+            young.update(zip(listed, self.merge_all(listed)))
+            return
+        # words that chunks share (word, word. Word) are merged once; a chunk of letters only is its own word
+        find, normal, known = self.pattern.findall, self.normal, young.get
+        wanted: dict[str, bytes | None] = {}
+        mixed: list[tuple[str, list[str]]] = []
+        for c in missing:
+            n = normal(c)
+            if n.isalpha():
+                if n == c:
+                    wanted[c] = None
+                elif (got := known(n)) is not None:
+                    young[c] = got
+                else:
+                    wanted[n] = None
+                    mixed.append((c, [n]))
             else:
-                missing.append(c)
-        if missing:
-            find, drops = self.pattern.findall, self.drops_space
-            words = [(n,) if n.isalpha() or not drops else find(n) for n in map(self.normal, missing)]
-            ids = self.merge_all([w for ws in words for w in ws])
-            at = 0
-            for c, ws in zip(missing, words):
-                young[c] = b"".join(ids[at : at + len(ws)])
-                at += len(ws)
+                words = find(n)
+                mixed.append((c, words))
+                for w in words:
+                    if w not in young:
+                        wanted[w] = None
+        ids = dict(zip(wanted, self.merge_all(list(wanted))))
+        young.update(ids)
+        for c, words in mixed:
+            young[c] = b"".join([young[w] for w in words]) if len(words) != 1 else young[words[0]]
 
     def merge_all(self, words: list[str]) -> list[bytes]:
         """Packed ids of many pre-tokens: the merges of all words of similar length run side by side."""
@@ -261,6 +279,8 @@ class Transducer:
         return len(text) - (len(self.suffix) if self.suffix and text.endswith(self.suffix) else 0)
 
     def normal(self, text: str) -> str:
+        if text.isascii():
+            return text.lower() if self.lower else text
         if self.compose:
             text = unicodedata.normalize("NFC", text)
         if self.lower:
@@ -373,8 +393,10 @@ class Transducer:
             return self.known(self.normal(text))
         if self.drops_space:
             chunks = text.split()
-            if not self.young.keys() >= (wanted := set(chunks)):
-                self.fill(wanted)
+            try:
+                return b"".join(map(self.young.__getitem__, chunks))
+            except KeyError:
+                self.fill(set(chunks))
             return b"".join(map(self.young.__getitem__, chunks))
         return self.known(self.normal(text))
 
