@@ -1,7 +1,7 @@
 """The stateful detector against the batch plan, and its policies."""
 
 from tidemark.operators import windows
-from tidemark.streaming.detector import Detector, HopCutter, Policy
+from tidemark.streaming.detector import Detector, Policy
 
 
 def fires(policy, scores, second=None, speech=None):
@@ -35,12 +35,13 @@ def test_state_survives_any_split():
     assert out == whole
 
 
-def test_hop_cutter():
-    c = HopCutter(4, 2)
-    got = [h for chunk in ([1, 2, 3], [4, 5, 6, 7, 8, 9]) for h in c.feed(chunk)]
-    assert got == [(0, [1, 2, 3, 4], False), (1, [5, 6, 7, 8], True)] and c.rest == [9]
-    c.reset()
-    assert c.rest == [] and c.count == 0
+def test_pause_until_resumed():
+    d = Detector(Policy(0.5, 1, 1, pause=True))
+    got = []
+    for i in range(8):
+        d = Detector.restored(d.policy, d.state())
+        got.append(d.hop(i, [("m", 0.9, None)], resume=i == 5))
+    assert [f[1] for f in got if f] == [0, 5]
 
 
 def test_file_stream_equals_batch(spark, tmp_path):

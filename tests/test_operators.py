@@ -85,8 +85,17 @@ def test_interval_hits_across_slices(spark):
 
 def test_summary_of_false_accepts(spark):
     h = hops(spark, [3, 50])
-    out = {r.stream_id: r for r in matching.stream_summary(windows.detections(h, 0.5, 5), spark.createDataFrame([(1, 1, 2, 4), (1, 2, 20, 22)], "stream_id long, clip_no long, start long, end long"), h).collect()}
-    assert (out[1].clips, out[1].misses, out[1].fires, out[1].false_accepts) == (2, 1, 2, 1) and out[None].clips == 2
+    spans = spark.createDataFrame([(1, 1, 2, 4), (1, 2, 20, 22)], "stream_id long, clip_no long, start long, end long")
+
+    def summary(kind, hours):
+        streams = spark.createDataFrame([(1, kind, hours)], "stream_id long, kind string, hours double")
+        return {r.stream_id: r for r in matching.stream_summary(windows.detections(h, 0.5, 5), spans, streams).collect()}
+
+    out = summary("positive", 1.0)
+    assert (out[1].clips, out[1].misses, out[1].fires, out[1].false_accepts) == (2, 1, 2, 1) and out[None].clips == 2 and out[1].fa_per_hour is None
+    out = summary("background", 2 / 3600)  # one of two clips fires; every fire counts
+    assert (out[1].misses, out[1].false_accepts, out[1].fa_per_clip, out[1].fa_per_hour) == (None, 2, 0.5, 2 / (2 / 3600))
+    assert summary("background", 0.0)[1].fa_per_hour == 0.0 and summary("near_miss", 1.0)[1].fa_per_hour is None
 
 
 def test_selection_takes_the_highest_of_equals(spark):
@@ -149,7 +158,7 @@ def test_dsp():
     import numpy as np
 
     x = np.sin(np.arange(16_000) * 2 * np.pi * 440 / 16_000)
-    assert len(dsp.mel(x)) == (16_000 - 512) // 160 + 1 and len(dsp.mel(x)[0]) == 32 and dsp.mel(x[:100]) == []
+    assert len(dsp.mel(x)) == (16_000 - 512) // 160 + 1 and len(dsp.mel(x)[0]) == 32 and len(dsp.mel(x[:100])) == 0
     assert np.allclose(dsp.convolve(x, np.array([0.5, 0.0])), x) and len(dsp.resample(x, 16_000, 8_000)) == 8_000
     assert np.allclose(dsp.equalise(x, [0.0, 0.0]), x) and np.abs(dsp.distort(x, 3.0)).max() == pytest.approx(np.abs(x).max())
 

@@ -86,6 +86,27 @@ def end_aligned(x: Column, n: int, jitter: Column) -> Column:
     return F.concat(zeros(free - after), kept, zeros(after))
 
 
+def with_context(x: Column, context: Column, n: int, jitter: Column, gap: Column, gain_db: Column) -> Column:
+    """`end_aligned`, with the end of other speech before it: `gap` samples between, at the level of `x` and a gain.
+
+    No room before the gap, or no context, leaves the space silent.
+    """
+    window = end_aligned(x, n, jitter)
+    kept = F.least(F.size(x), F.lit(n))
+    begin = F.lit(n) - kept - F.least(F.lit(n) - kept, jitter).cast("int")
+    until = begin - gap
+    tail = F.slice(context, F.greatest(F.lit(1), F.size(context) - until + 1), F.greatest(F.lit(0), until))
+    level = F.when(rms(x) > 0, rms(x) / (rms(tail) + 1e-8)).otherwise(1.0) * decibels(gain_db)
+    filled = F.concat(zeros(until - F.size(tail)), scaled(tail, level), zeros(F.lit(n) - until))
+    return F.when((until > 0) & (F.size(context) > 0), added(window, filled)).otherwise(window)
+
+
+def segments(x: Column, starts: Column, reversed_: Column, n: int) -> Column:
+    """A clip of n samples from a short one: turns of it from drawn starts on, some of them backwards, end to end."""
+    turns = F.transform(F.arrays_zip(starts.alias("s"), reversed_.alias("b")), lambda d: F.when(d["b"], F.reverse(rolled(x, -d["s"]))).otherwise(rolled(x, -d["s"])))
+    return F.slice(F.flatten(turns), 1, n)
+
+
 def centred(x: Column, n: int) -> Column:
     """Padded on both sides, or cut to the middle n samples."""
     extra = F.size(x) - n

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.metrics import per_hour, ratio
-from tidemark.sources.tables import HOP_SECONDS
+from tidemark.operators.metrics import ratio
+from tidemark.operators.windows import lowest_of_last
 
 #: Hops of a time slice of the interval join.
 SLICE = 256
@@ -31,39 +31,73 @@ def fires_in_spans(fires: DataFrame, spans: DataFrame, tail: int = 0, keys: tupl
     return fires.withColumn("slice", F.floor(F.col("hop") / SLICE)).join(cut, [*keys, "slice"]).where(inside).select(*keys, "hop").distinct()
 
 
-def stream_summary(fires: DataFrame, spans: DataFrame, hops: DataFrame, tail: int = 0) -> DataFrame:
-    """A row a stream and one pooled row (stream_id null): clips, misses, miss_rate, fires, false_accepts, hours, fa_per_hour."""
-    hit = interval_hits(fires, spans, tail).groupBy("stream_id").agg(F.count("*").alias("clips"), F.count_if(F.col("hits") == 0).alias("misses"))
+def per_clip(fires: DataFrame, spans: DataFrame, tail: int, keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
+    """keys, clips, fired: how many spans there are and how many of them have a fire."""
+    hits = interval_hits(fires, spans, tail, keys)
+    return hits.groupBy(*keys).agg(F.count("*").alias("clips"), F.count_if(F.col("hits") > 0).alias("fired"))
+
+
+def stream_summary(fires: DataFrame, spans: DataFrame, streams: DataFrame, tail: int = 0) -> DataFrame:
+    """A row a stream and, with stream_id null, one a kind of stream.
+
+    streams: stream_id, kind (positive, near_miss, background), hours of voice in it. On positive streams a
+    span without a fire is a miss and a fire outside all spans a false accept. On the others every fire is a
+    false accept, wherever it falls, and fa_per_clip is the share of spans with a fire; false accepts an hour
+    are given for background streams only, 0 where there is no voice. What a kind has not is null.
+    """
+    clips = per_clip(fires, spans, tail)
     total = fires.groupBy("stream_id").agg(F.count("*").alias("fires"))
     inside = fires_in_spans(fires, spans, tail).groupBy("stream_id").agg(F.count("*").alias("inside"))
-    length = hops.groupBy("stream_id").agg(F.count("*").alias("hops"))
-    joined = length.join(hit, "stream_id", "left").join(total, "stream_id", "left").join(inside, "stream_id", "left").na.fill(0)
-    pooled = joined.groupingSets([["stream_id"], []], "stream_id").agg(*(F.sum(c).alias(c) for c in ("clips", "misses", "fires", "inside", "hops")))
-    hours = F.col("hops") * HOP_SECONDS / 3600
-    false = F.col("fires") - F.col("inside")
-    return pooled.select("stream_id", "clips", "misses", ratio(F.col("misses").cast("double"), F.col("clips")).alias("miss_rate"), "fires", false.alias("false_accepts"), hours.alias("hours"), per_hour(false, hours).alias("fa_per_hour"))
+    joined = streams.select("stream_id", "kind", "hours").join(clips, "stream_id", "left").join(total, "stream_id", "left").join(inside, "stream_id", "left").na.fill(0, ["clips", "fired", "fires", "inside"])
+    pooled = joined.groupingSets([["stream_id", "kind"], ["kind"]], "stream_id", "kind").agg(*(F.sum(c).alias(c) for c in ("clips", "fired", "fires", "inside", "hours")))
+    positive, background = F.col("kind") == "positive", F.col("kind") == "background"
+    misses, share = F.col("clips") - F.col("fired"), lambda n: ratio(n.cast("double"), F.col("clips"))
+    false = F.when(positive, F.col("fires") - F.col("inside")).otherwise(F.col("fires"))
+    return pooled.select(
+        "stream_id", "kind", "clips", F.when(positive, misses).alias("misses"), F.when(positive, share(misses)).alias("miss_rate"), "fires", false.alias("false_accepts"),
+        F.when(~positive, share(F.col("fired"))).alias("fa_per_clip"), "hours", F.when(background, ratio(F.col("fires").cast("double"), F.col("hours"))).alias("fa_per_hour"),
+    )
 
 
-def at_thresholds(hops: DataFrame, steps: list[int], of: int) -> DataFrame:
-    """stream_id, step, hop of all candidates of each threshold step/of: one pass, a candidate for each threshold it reaches."""
+def at_thresholds(hops: DataFrame, steps: list[int], of: int, k: int = 1) -> DataFrame:
+    """stream_id, step, hop of all candidates of each threshold step/of: one pass, a candidate for each threshold it reaches.
+
+    With k the last k scores must reach it, so the least of them counts.
+    """
     s = F.col("score")
+    if k > 1:
+        hops = lowest_of_last(hops, k)
     grid = F.array(*(F.lit(i) for i in steps))
     reached = F.filter(grid, lambda i: (s >= i / F.lit(float(of))) & ~F.isnan(s))
     return hops.where(s.isNotNull()).select("stream_id", "hop", F.explode(reached).alias("step"))
 
 
-def pooled_det(fires: DataFrame, spans: DataFrame, positives: DataFrame, negatives: DataFrame, steps: DataFrame, tail: int = 0) -> DataFrame:
-    """step, misses, clips, miss_rate, false_accepts, fa_per_hour: misses over positive streams, false accepts over negative ones.
+def pooled_det(fires: DataFrame, spans: DataFrame, streams: DataFrame, steps: DataFrame, tail: int = 0) -> DataFrame:
+    """step, misses, clips, miss_rate, near_miss_rate, false_accepts, fa_per_hour over all streams of a kind.
 
-    positives, negatives: stream_id, hops. fires: stream_id, step, hop. steps: step.
+    Misses come from positive streams, false accepts and hours from background ones; near-miss streams give the
+    share of their spans that fired, null where they have none. streams: stream_id, kind, hours. fires:
+    stream_id, step, hop. steps: step.
     """
-    keys = ("stream_id", "step")
-    wanted = spans.join(positives.select("stream_id"), "stream_id", "left_semi").join(F.broadcast(steps))  # a fixed list of steps
-    hit = interval_hits(fires, wanted, tail, keys).groupBy("step").agg(F.count("*").alias("clips"), F.count_if(F.col("hits") == 0).alias("misses"))
-    false = fires.join(negatives.select("stream_id"), "stream_id", "left_semi").groupBy("step").agg(F.count("*").alias("false_accepts"))
-    length = negatives.agg((F.coalesce(F.sum("hops"), F.lit(0)) * HOP_SECONDS / 3600).alias("hours"))
+    kinds = streams.select("stream_id", "kind")
+    wanted = spans.join(kinds.where("kind <> 'background'"), "stream_id").join(F.broadcast(steps))  # a fixed list of steps
+    clips = per_clip(fires, wanted.drop("kind"), tail, ("stream_id", "step")).join(kinds, "stream_id")
+    of = lambda kind, column: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(column))), F.lit(0))
+    hit = clips.groupBy("step").agg(of("positive", "clips").alias("clips"), of("positive", "fired").alias("fired"), of("near_miss", "clips").alias("near"), of("near_miss", "fired").alias("near_fired"))
+    background = streams.where("kind = 'background'")
+    false = fires.join(background.select("stream_id"), "stream_id", "left_semi").groupBy("step").agg(F.count("*").alias("false_accepts"))
+    length = background.agg(F.coalesce(F.sum("hours"), F.lit(0.0)).alias("hours"))
     rows = steps.join(hit, "step", "left").join(false, "step", "left").na.fill(0).join(F.broadcast(length))
-    return rows.select("step", "misses", "clips", ratio(F.col("misses").cast("double"), F.col("clips")).alias("miss_rate"), "false_accepts", per_hour(F.col("false_accepts"), F.col("hours")).alias("fa_per_hour"))
+    misses = F.col("clips") - F.col("fired")
+    return rows.select(
+        "step", misses.alias("misses"), "clips", ratio(misses.cast("double"), F.col("clips")).alias("miss_rate"), F.when(F.col("near") > 0, F.col("near_fired") / F.col("near")).alias("near_miss_rate"),
+        "false_accepts", ratio(F.col("false_accepts").cast("double"), F.col("hours")).alias("fa_per_hour"),
+    )
+
+
+def verified_hops(hops: DataFrame, verifier: str, threshold: float) -> DataFrame:
+    """Hops with score 0 where the second stage rejects: before runs and debounce, so that a rejection breaks a run."""
+    return hops.withColumn("score", reject(F.col("score"), F.coalesce(verifier, F.lit(0.0)), threshold))
 
 
 def select_point(det: DataFrame, target: float) -> DataFrame:

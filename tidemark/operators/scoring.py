@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,9 @@ BATCH = 1024
 def score_with(rows: DataFrame, column: str, load: Callable[[], Callable[[np.ndarray], np.ndarray]], out: str = "score") -> DataFrame:
     """Add `out` by a model that is loaded once a task and called with (n, …) arrays of equal rows.
 
-    Rows whose array is null get null.
+    Rows whose array is null get null. A column `out` is replaced.
     """
+    rows = rows.drop(out) if out != column else rows
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,6 +67,25 @@ def onnx_model(path: str) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
     return load
 
 
+@dataclass(frozen=True)
+class Verifier:
+    """A second-stage model and the threshold that was stored with it, 0.5 where none was."""
+
+    load: Callable[[], Callable[[np.ndarray], np.ndarray]]
+    threshold: float = 0.5
+
+    @classmethod
+    def stored(cls, load: Callable, about: dict) -> Verifier:
+        return cls(load, float(about.get("threshold", 0.5)))
+
+    def score(self, rows: DataFrame, column: str, out: str = "verifier_score") -> DataFrame:
+        return score_with(rows, column, self.load, out)
+
+    def accepted(self, rows: DataFrame, column: str) -> DataFrame:
+        """Add verifier_score and accepted."""
+        return self.score(rows, column).withColumn("accepted", F.coalesce(F.col("verifier_score") >= self.threshold, F.lit(False)))
+
+
 def centroid(rows: DataFrame, column: str) -> DataFrame:
     """One row: the mean vector, by element-wise partial sums."""
     flat = rows.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x"))
@@ -81,23 +102,25 @@ def train_logistic(rows: DataFrame, column: str, label: str, weight: str | None
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
-    data = rows.withColumn("features", array_to_vector(F.col(column)))
-    return LogisticRegression(featuresCol="features", labelCol=label, maxIter=steps, regParam=0.01, **({"weightCol": weight} if weight else {})).fit(data)
+    data = rows.withColumn("__features", array_to_vector(F.col(column)))
+    return LogisticRegression(featuresCol="__features", labelCol=label, maxIter=steps, regParam=0.01, **({"weightCol": weight} if weight else {})).fit(data)
 
 
 def apply_logistic(model, rows: DataFrame, column: str) -> DataFrame:
+    """Add score; all other columns pass, a column `score` is replaced."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    scored = model.transform(rows.withColumn("features", array_to_vector(F.col(column))))
-    return scored.withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    private = model.copy().setFeaturesCol("__features").setRawPredictionCol("__raw").setProbabilityCol("__probability").setPredictionCol("__prediction")
+    scored = private.transform(rows.drop("score").withColumn("__features", array_to_vector(F.col(column))))
+    return scored.withColumn("score", vector_to_array("__probability")[1]).drop("__features", "__raw", "__probability", "__prediction")
 
 
 def train_hardening(rows: DataFrame, column: str, label: str, rounds: int = 3, target: float = 0.1):
     """Three rounds, each with the negatives' weight doubled while too many of them score over 0.5."""
     weight, model = 1.0, None
     for _ in range(rounds):
-        weighted = rows.withColumn("weight", F.when(F.col(label) < 0.5, F.lit(weight)).otherwise(F.lit(1.0)))
-        model = train_logistic(weighted, column, label, "weight")
+        weighted = rows.withColumn("__weight", F.when(F.col(label) < 0.5, F.lit(weight)).otherwise(F.lit(1.0)))
+        model = train_logistic(weighted, column, label, "__weight")
         wrong = apply_logistic(model, rows.where(F.col(label) < 0.5), column).agg(F.avg((F.col("score") >= 0.5).cast("double"))).first()[0] or 0.0
         if wrong <= target:
             break

@@ -30,10 +30,15 @@ class Augmentation:
     eq_probability: float = 0.25
     distortion_probability: float = 0.25
     response_probability: float = 0.5
+    context_probability: float = 0.0
+    near_miss_context_probability: float = 0.0
+    split_probability: float = 0.0
+    context_gap_samples: list[int] = field(default_factory=lambda: [0, 6400])
+    split_gap_samples: list[int] = field(default_factory=lambda: [1600, 8000])
 
     def check(self) -> None:
         within("augmentation.rounds", self.rounds, 1, 100)
-        for name in ("eq_probability", "distortion_probability", "response_probability"):
+        for name in ("eq_probability", "distortion_probability", "response_probability", "context_probability", "near_miss_context_probability", "split_probability"):
             within(f"augmentation.{name}", getattr(self, name), 0, 1)
         if self.snr_low_db > self.snr_high_db:
             raise ValueError("augmentation.snr_low_db is over snr_high_db")
@@ -47,6 +52,8 @@ class Streaming:
     tail_hops: int = 1
     gap_seconds: float = 3.0
     target_fa_per_hour: float = 0.5
+    verifier_threshold: float = 0.5
+    snr_db: float = 10.0
 
     def check(self) -> None:
         within("streaming.threshold", self.threshold, 0, 1)
@@ -64,6 +71,15 @@ class Config:
     n_train: int = 1000
     n_test: int = 200
     holdout: float = 0.2
+    custom_negatives: list[str] = field(default_factory=list)
+    swap_share: float = 0.0
+    custom_share: float = 0.0
+    partial_share: float = 1.0
+    word_share: float = 0.2
+    smoothing: float = 0.0
+    mixup: float = 0.0
+    unmixed: list[str] = field(default_factory=list)
+    verifier_recall: float = 0.9
     shares: dict[str, float] = field(default_factory=dict)
     batch: dict[str, int] = field(default_factory=lambda: {"positive": 50, "adversarial_negative": 50, "ambient_noise": 50})
     steps: int = 1000
@@ -75,6 +91,10 @@ class Config:
             raise ValueError("phrases: one at least is needed")
         within("n_train", self.n_train, 0, 10**9)
         within("holdout", self.holdout, 0, 1)
+        for name in ("swap_share", "custom_share", "partial_share", "word_share", "verifier_recall", "smoothing", "mixup"):
+            within(name, getattr(self, name), 0, 1)
+        if self.swap_share + self.custom_share > 1 + 1e-9:
+            raise ValueError("swap_share and custom_share add up to more than 1")
         if sum(self.shares.values()) > 1 + 1e-9:
             raise ValueError("shares add up to more than 1")
         for name in set(self.batch) - set(CLASSES):

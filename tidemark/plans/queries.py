@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import dsp, signal
 from tidemark.operators import matching, metrics, phrases, sampling, scoring, windows
-from tidemark.sources import tables
+from tidemark.sources import dictionary, features, sinks, tables
 from tidemark.sources.tables import read
+from tidemark.streaming import feeds
+from tidemark.streaming.detector import Policy, detect
+from tidemark.streaming.scorer import Geometry, Model, score_audio
 
 #: Debounce of two seconds in hops, the default threshold, hops of a hit window's tail.
 SKIP, THRESHOLD, TAIL = windows.debounce_hops(2.0), 0.5, 1
@@ -48,17 +50,22 @@ def q05_aut(spark, d):
     return _rounded(metrics.area_under_det(metrics.det_curve(clips(spark, d))), "aut")
 
 
+def _weighted(x):
+    """One number of all components of a vector."""
+    return F.aggregate(F.transform(x, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v) / F.size(x)
+
+
 def q06_hop_windows(spark, d):
-    s = stream(spark, d).withColumn("x", F.col("emb")[0])
+    s = stream(spark, d).withColumn("x", _weighted(F.col("emb")))
     full = windows.stride_windows(s, "x").select("stream_id", "hop", F.lit("stride").alias("kind"), "window")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("hop", "x"))), lambda r: r["x"])
-    short = s.where("hop < 10 or stream_id % 2 = 0").groupBy("stream_id").agg(F.max("hop").alias("hop"), ordered.alias("all"))
-    padded = short.select("stream_id", "hop", F.lit("padded").alias("kind"), windows.last_padded(F.col("all"), 16, F.lit(0.0)).alias("window"))
-    return full.union(padded).select("stream_id", "hop", "kind", *(F.round(F.col("window")[i], 6).alias(f"w{i}") for i in (0, 7, 15)))
+    last = s.groupBy("stream_id").agg(F.max("hop").alias("hop"), ordered.alias("all"))
+    padded = last.select("stream_id", "hop", F.lit("padded").alias("kind"), windows.last_padded(F.col("all"), 20, F.lit(0.0)).alias("window"))
+    return full.union(padded).select("stream_id", "hop", "kind", F.size("window").alias("n"), *(F.round(F.col("window")[i], 6).alias(f"w{i}") for i in (0, 7, 15)))
 
 
 def q07_window_scores_maxpool(spark, d):
-    s = stream(spark, d).withColumn("x", F.col("emb")[0] + F.col("emb")[1])
+    s = stream(spark, d).withColumn("x", _weighted(F.col("emb")))
     scored = windows.stride_windows(s, "x").select("stream_id", (signal.total(F.col("window")) / 16).alias("score"))
     return _rounded(windows.max_pool(scored, "stream_id"), "score")
 
@@ -88,25 +95,25 @@ def q11_interval_hits(spark, d):
 
 def q12_set_summary(spark, d):
     h = hops(spark, d)
-    return _rounded(matching.stream_summary(windows.detections(h, THRESHOLD, SKIP), tables.targets(h), h, TAIL), "miss_rate", "hours", "fa_per_hour")
+    sets = tables.streams(h)
+    return _rounded(matching.stream_summary(windows.detections(h, THRESHOLD, SKIP), tables.stream_clips(h, sets), sets, TAIL), "miss_rate", "fa_per_clip", "hours", "fa_per_hour")
 
 
 def _det(spark, d):
     h = hops(spark, d)
-    steps = list(range(1, 10))
+    steps, sets = list(range(1, 10)), tables.streams(h)
     fires = windows.debounced(matching.at_thresholds(h, steps, 10), SKIP, ("stream_id", "step"))
-    length = h.groupBy("stream_id").agg(F.count("*").alias("hops"))
-    even, odd = length.where("stream_id % 2 = 0"), length.where("stream_id % 2 = 1")
-    return matching.pooled_det(fires, tables.targets(h), even, odd, spark.createDataFrame([(i,) for i in steps], "step int"), TAIL)
+    return matching.pooled_det(fires, tables.stream_clips(h, sets), sets, spark.createDataFrame([(i,) for i in steps], "step int"), TAIL)
 
 
 def q13_streaming_det(spark, d):
-    return _rounded(_det(spark, d), "miss_rate", "fa_per_hour")
+    return _rounded(_det(spark, d), "miss_rate", "near_miss_rate", "fa_per_hour")
 
 
 def q13b_streaming_select(spark, d):
     det = _det(spark, d)
-    return _rounded(matching.select_point(det, 1500.0).withColumn("target", F.lit(1500.0)).unionByName(matching.select_point(det, 0.5).withColumn("target", F.lit(0.5))), "miss_rate", "fa_per_hour")
+    chosen = [matching.select_point(det, t).withColumn("target", F.lit(t)) for t in (1500.0, 0.5)]
+    return _rounded(chosen[0].unionByName(chosen[1]), "miss_rate", "near_miss_rate", "fa_per_hour")
 
 
 def q14_rolling_gate(spark, d):
@@ -142,10 +149,11 @@ def q17_checkpoint_select(spark, d):
 
 
 def q17b_checkpoint_average(spark, d):
-    e = read(spark, d, "embeddings")
-    best = Window.partitionBy("label").orderBy(F.desc("vec_id"))
-    last = e.withColumn("r", F.row_number().over(best)).where("r <= 3").select(F.col("label").alias("name"), F.col("embedding").cast("array<double>").alias("weights"))
-    return metrics.average_weights(last).select("name", F.size("weights").alias("n"), *(F.round(F.col("weights")[i], 6).alias(f"w{i}") for i in (0, 31, 63)))
+    e = read(spark, d, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("weights"))
+    # the figure that checkpoints are ranked by; of equals the later one wins
+    ranked = sampling.top_n(e.withColumn("merit", F.pmod(F.col("vec_id") * 7, F.lit(11))), 3, ["merit", "vec_id"], "label")
+    means = metrics.average_weights(ranked.select(F.col("label").alias("name"), "weights"))
+    return means.select("name", F.size("weights").alias("n"), *(F.round(F.col("weights")[i], 6).alias(f"w{i}") for i in (0, 31, 63)), F.round(_weighted(F.col("weights")), 6).alias("all"))
 
 
 def _part_words(spark, d):
@@ -156,7 +164,15 @@ def _doc_words(spark, d):
     return phrases.vocabulary(read(spark, d, "documents"))
 
 
+def _dictionary(spark, d):
+    return sinks.written(dictionary.spelled_dictionary(_doc_words(spark, d).union(_part_words(spark, d)).distinct()), "dictionary")
+
+
 def q18_phonetic_neighbours(spark, d):
+    return phrases.phonetic_neighbours(_part_words(spark, d), _dictionary(spark, d))
+
+
+def q18b_spelling_neighbours(spark, d):
     return phrases.neighbours(_part_words(spark, d), _doc_words(spark, d), 2)
 
 
@@ -179,7 +195,7 @@ def q21_phrase_schedule(spark, d):
 
 
 def q22_unknown_word_split(spark, d):
-    known = phrases.vocabulary(read(spark, d, "benchmark"))
+    known = sinks.written(phrases.vocabulary(read(spark, d, "benchmark")), "known")
     return phrases.known_cut(_doc_words(spark, d).join(known, "word", "left_anti"), known)
 
 
@@ -203,8 +219,9 @@ def q25_cyclic_batches(spark, d):
 
 def q26_mixed_radix(spark, d):
     brands = read(spark, d, "part").select("p_brand").distinct()
-    ordered = brands.withColumn("d0", (F.row_number().over(Window.orderBy("p_brand")) - 1).cast("int"))  # a few dozen brands
-    return sampling.mixed_radix(spark, 500, [25, 2, 3]).join(F.broadcast(ordered), "d0").select("i", "p_brand", "d1", "d2")
+    ordered = sampling.numbered(brands, "d0", F.substring(F.md5("p_brand"), 1, 1), [F.md5("p_brand")])
+    n = brands.count()
+    return sampling.mixed_radix(spark, 20 * n, [n, 2, 3]).join(ordered.withColumn("d0", F.col("d0").cast("int")), "d0").select("i", "p_brand", "d1", "d2")
 
 
 def q27_mixup_pairs(spark, d):
@@ -213,7 +230,7 @@ def q27_mixup_pairs(spark, d):
     other = e.select(F.col("vec_id").alias("partner"), F.col("emb").alias("other"))
     mixed = pairs.join(e.drop("label"), "vec_id").join(other, "partner")
     x = signal.blended(F.col("emb"), F.col("other"), F.lit(0.7))
-    return mixed.select("label", "vec_id", "partner", F.round(x[0], 6).alias("x0"), F.round(x[63], 6).alias("x63"))
+    return mixed.select("label", "vec_id", "partner", F.round(x[0], 6).alias("x0"), F.round(x[63], 6).alias("x63"), F.round(_weighted(x), 6).alias("all"))
 
 
 def q28_schedules(spark, d):
@@ -235,7 +252,7 @@ def q30_slerp(spark, d):
     e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
     z = signal.slerp(F.col("x"), F.col("y"), F.lit(0.25))
-    return e.join(other, "vec_id").select("vec_id", F.round(z[0], 5).alias("z0"), F.round(z[63], 5).alias("z63"))
+    return e.join(other, "vec_id").select("vec_id", F.round(z[0], 5).alias("z0"), F.round(z[63], 5).alias("z63"), F.round(_weighted(z), 4).alias("all"))
 
 
 def q31_reblock(spark, d):
@@ -247,8 +264,6 @@ def q32_mel_features(spark, d):
     """Bands of a synthetic waveform of each vector: its components in turn over 32,000 samples."""
     e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     wavy = e.withColumn("samples", signal.tiled(F.col("x"), F.lit(0), F.lit(32_000))).drop("x")
-    from pyspark.sql import types as T
-
     bands = dsp.per_row(wavy, "samples", "bands", T.ArrayType(T.ArrayType(T.DoubleType())), dsp.mel)
     low = signal.floored(F.col("bands"))
     return bands.select("vec_id", F.size("bands").alias("frames"), F.size(signal.mel_windows(F.col("bands"))).alias("windows"), F.round(low[0][0], 4).alias("low0"))
@@ -260,30 +275,169 @@ def q33_trained_scorer(spark, d):
 
 
 def q34_streaming_detector(spark, d):
-    """The detections of q09, by the stateful processor over a file stream."""
-    from tidemark.streaming.detector import Policy, detect
+    """The detections of q09 by the stateful processor, over hop scores that arrive in a folder drop by drop."""
+    rows = hops(spark, d).select("stream_id", "hop", F.lit("wake").alias("name"), "score")
+    folder = sinks.scratch(spark, "hops")
+    feeds.dropped(rows, folder, "hop")
+    return feeds.run_through(detect(feeds.folder_stream(spark, folder, rows.schema, 8), Policy(THRESHOLD, 1, SKIP))).select("stream_id", "hop")
+
+
+def _background(spark, d):
+    """Clips (all that is no purchase) and, as the negative stream, the streams of users, an event a hop."""
+    h = hops(spark, d)
+    return clips(spark, d).where("kind <> 'background'"), h.where("kind <> 'positive'").select("stream_id", "hop", "score")
+
+
+def q35_stream_metrics(spark, d):
+    own, negative = _background(spark, d)
+    return _rounded(metrics.stream_metrics(own, negative, windows.detections(negative, THRESHOLD, SKIP), THRESHOLD), "fpph", "near_miss_rate", "recall", "accuracy")
+
+
+def q36_stream_best_threshold(spark, d):
+    own, negative = _background(spark, d)
+    fires = windows.debounced(matching.at_thresholds(negative, list(range(1, 10)), 10), SKIP, ("stream_id", "step"))
+    swept = metrics.stream_sweep(own, negative, fires, 10, 1, 9)
+    best = metrics.best_thresholds(swept, [0.5, 2000.0, 4000.0], middle=5)
+    return _rounded(best, "recall", "fpph", "accuracy")
+
+
+def _targets(spark, d):
+    return read(spark, d, "part").select(F.col("p_name").alias("phrase")).distinct()
+
+
+def q37_adversarial_phrases(spark, d):
+    return phrases.adversarial_phrases(_targets(spark, d), _dictionary(spark, d))
+
+
+def q38_word_swaps(spark, d):
+    return phrases.word_swaps(_targets(spark, d), phrases.common_words(read(spark, d, "benchmark"), "text", 40), _dictionary(spark, d))
+
+
+def q39_gated_run_detection(spark, d):
+    """Runs of two, once the second stage has put the hops that it rejects to 0."""
+    h = hops(spark, d).withColumn("second", (F.col("event_id") * 7919 % 1000) / F.lit(1000.0))
+    return windows.detections(matching.verified_hops(h, "second", 0.4), 0.3, SKIP, 2)
+
+
+#: A small geometry whose scores SQL can state: frames are means of two values, stretches means of three frames.
+SMALL = Geometry(hop=2, step=1, frame=2, window_hops=4, width=3, stride=2, steps=3, depth=0.4)
+
+
+def _small_model() -> Model:
+    return Model(lambda x: ((x[:-1] + x[1:]) / 2)[:, None], lambda s: s.mean(1), lambda v: float(v.mean()))
+
+
+def q40_incremental_scorer(spark, d):
+    """Hop scores of streams of values that come in chunks of seven, drop by drop."""
+    rows = tables.chunks(hops(spark, d), "score")
+    folder = sinks.scratch(spark, "chunks")
+    feeds.dropped(rows, folder, "seq", 3)
+    found = feeds.run_through(score_audio(feeds.folder_stream(spark, folder, rows.schema, 8), _small_model, SMALL))
+    return _rounded(found, "score")
+
+
+def q41_class_counts(spark, d):
+    e = read(spark, d, "events")
+    return features.class_counts(e.select("event_type", F.to_date("ts").cast("string").alias("day")), "event_type", "day")
+
+
+def q42_context_placement(spark, d):
+    """Each vector at the end of 160 samples, the one before it as the speech that comes first."""
+    e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    j = e.join(e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("x").alias("context")), "vec_id")
+    key = F.col("vec_id").cast("string")
+    drawn = j.withColumns({"jitter": F.floor(tables.share(key, "jitter") * 20).cast("int"), "gap": F.floor(tables.share(key, "gap") * 30).cast("int"), "gain": tables.share(key, "gain") * -6})
+    placed = drawn.withColumn("w", signal.with_context(F.col("x"), F.col("context"), 160, F.col("jitter"), F.col("gap"), F.col("gain")))
+    return placed.select("vec_id", F.size("w").alias("n"), *(F.round(F.col("w")[i], 5).alias(f"w{i}") for i in (0, 40, 70, 120, 159)), F.round(_weighted(F.col("w")), 4).alias("all"))
+
+
+def q43_background_clips(spark, d):
+    e = read(spark, d, "embeddings")
+    sources = sampling.dense_order(e.select("vec_id", F.col("embedding").cast("array<double>").alias("samples"), F.lit(0).alias("g")), "g", "vec_id")
+    made = sampling.background_clips(spark, 200, sources.select("ord", "samples"), 100)
+    return made.select("clip_idx", "ord", F.size("samples").alias("n"), F.round(F.col("samples")[0], 6).alias("first"), F.round(_weighted(F.col("samples")), 6).alias("all"))
+
+
+def q44_feature_blocks(spark, d):
+    """Examples of 16 steps from the streams of vectors, as the trainer's loader cuts them."""
+    s = stream(spark, d).select("stream_id", "hop", "emb")
+    cut = windows.reblock(s, "emb").select("stream_id", "block", features.last_steps(F.col("rows"), 12).alias("features"))
+    return cut.select("stream_id", "block", F.size("features").alias("steps"), F.round(_weighted(F.flatten("features")), 6).alias("all"))
+
+
+def q45_verifier_threshold(spark, d):
+    """Clips' scores by the mean positive vector, the threshold that accepts nine of ten positives, and what it accepts."""
+    e = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.when(F.col("label") == 0, "positive").when(F.col("label") < 4, "near_miss").otherwise("background").alias("kind"))
+    centre = scoring.centroid(e.where("kind = 'positive'"), "x")
+    dots = e.join(F.broadcast(centre)).select("kind", F.round(signal.dot(F.col("x"), F.col("centroid")), 6).alias("score"))  # one row
+    return _rounded(metrics.recall_threshold(dots, [0.5, 0.9]), "threshold", "recall", "near_miss_accept")
+
+
+def q46_cycled_settings(spark, d):
+    voices = read(spark, d, "supplier").select(F.col("s_suppkey").alias("voice"), "s_name")
+    made = sampling.cycled_settings(spark, 500, 16, [3, 2, 4]).withColumn("voice", F.pmod(F.col("clip_idx"), F.lit(40)))
+    return made.join(sampling.voices_within(voices, 30), "voice").select("clip_idx", "batch_no", "d0", "d1", "d2", "voice", "s_name")
+
+
+def q47_latency_percentiles(spark, d):
+    return _rounded(metrics.latency_percentiles(read(spark, d, "events"), "value", "event_type"), "p50", "p95", "p99")
+
+
+def q48_losses(spark, d):
+    y = (F.col("kind") == "positive").cast("double")
+    rows = clips(spark, d).withColumn("y", metrics.smoothed(y, 0.1))
+    loss = metrics.focal_loss(F.col("score"), F.col("y")) * metrics.negative_weight(F.col("y"), F.lit(3.0))
+    return rows.groupBy("kind").agg(F.round(F.avg(loss), 6).alias("loss"), F.count("*").alias("n"))
+
+
+def q49_sample_formats(spark, d):
+    x = F.col("embedding").cast("array<double>")
+    rows = read(spark, d, "embeddings").select("vec_id", x.alias("x")).withColumns({"short": signal.to_int16(F.col("x")), "loud": signal.peak_int16(F.col("x")), "rolled": signal.rolled(F.col("x"), F.lit(5))})
+    whole = lambda c: _weighted(F.transform(c, lambda v: v.cast("double")))
+    return rows.select("vec_id", F.round(whole(F.col("short")), 6).alias("short"), F.round(whole(F.col("loud")), 6).alias("loud"), F.round(_weighted(signal.to_float(F.col("short"))), 9).alias("back"), F.round(F.col("rolled")[0], 6).alias("rolled0"), F.round(_weighted(F.col("rolled")), 6).alias("rolled"), F.round(signal.level_meter(F.col("x")), 6).alias("level"))
+
+
+def q50_phrase_draws(spark, d):
+    p = _targets(spark, d).withColumn("tokens", phrases.words(F.col("phrase")))
+    cut = phrases.cut_at(F.col("tokens"), F.col("phrase"))
+    return p.select("phrase", F.array_join(phrases.bernoulli_words(F.col("tokens"), F.col("phrase"), 0.5), " ").alias("kept"), F.array_join(cut[0], " ").alias("left"), F.array_join(cut[1], " ").alias("right"))
+
+
+def q51_clauses(spark, d):
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.posexplode(phrases.clauses(F.col("text"))).alias("place", "c"))
+    return c.select("conv_id", "turn", "place", "c.clause", "c.mark")
+
+
+def q52_symbol_ids(spark, d):
+    """Ids of the letters of names in decomposed form, with pads between, filled up to 40."""
+    table = F.create_map(*(x for i, c in enumerate("abcdefghijklmnopqrstuvwxyz ") for x in (F.lit(c), F.lit(i + 1))))
+    names = phrases.decomposed(_targets(spark, d), "phrase")
+    ids = phrases.pad_ids(phrases.symbol_ids(F.lower("phrase"), table), 0, F.lit(40))
+    return names.select("phrase", ids.alias("ids")).select("phrase", F.size("ids").alias("n"), F.array_join("ids", " ").alias("ids"))
 
-    source = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else f"{d}/event[s].parquet")
-    # hop numbers come from the batch side: a live source brings its own
-    numbered = hops(spark, d).select("stream_id", "hop", "event_id")
-    rows = source.select("event_id", F.col("user_id").alias("stream_id"), (F.col("value") / (F.col("value") + 50.0)).alias("score")).join(numbered, ["stream_id", "event_id"])
-    found = detect(rows.select("stream_id", "hop", F.lit("wake").alias("name"), "score"), Policy(THRESHOLD, 1, SKIP))
-    folder = _scratch(spark)
-    query = found.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(found.schema).parquet(f"{folder}/rows").select("stream_id", "hop")
 
+def q53_random_pairs(spark, d):
+    """Two voices and a room for each clip."""
+    made = sampling.speaker_pairs(read(spark, d, "orders").select(F.col("o_orderkey").alias("clip_idx")), 25)
+    rooms = read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("ord"), "n_name")
+    return sampling.pick(made, "clip_idx", rooms, "room").select("clip_idx", "a", "b", "n_name")
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
+def q54_verified_stream(spark, d):
+    """Detections behind a speech gate and a second stage, by the stateful processor."""
+    rows = hops(spark, d).select("stream_id", "hop", F.lit("wake").alias("name"), "score", ((F.col("event_id") * 7919 % 1000) / F.lit(1000.0)).alias("verifier_score"), (F.col("kind") != "near_miss").alias("speech"))
+    folder = sinks.scratch(spark, "hops")
+    feeds.dropped(rows, folder, "hop")
+    policy = Policy(THRESHOLD, 1, SKIP, gate_window=5, gate_needed=4, verifier=0.4)
+    found = feeds.run_through(detect(feeds.folder_stream(spark, folder, rows.schema, 8), policy))
+    return found.select("stream_id", "hop", F.round("score", 6).alias("score"), "verifier_score")
 
-def _scratch(spark: SparkSession) -> str:
-    import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def q55_window_scorer(spark, d):
+    """Every window of 16 steps scored by a model that is loaded once a task."""
+    weights = [(i + 1) / 64 for i in range(64)]
+    load = lambda: lambda x: (x.astype("float64") @ weights).mean(1)
+    return _rounded(scoring.score_with(windows.stride_windows(stream(spark, d), "emb"), "window", load).select("stream_id", "hop", "score"), "score").withColumn("score", F.round("score", 4))
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.dsp import resample
+from tidemark.sources.sinks import present
 from tidemark.sources.tables import SAMPLE_RATE
 
 #: File names of original and of augmented clips.
@@ -18,7 +20,7 @@ SCHEMA = "path string, name string, sample_rate int, samples array<float>, probl
 
 
 def decode(raw: bytes, mean: bool, rate: int | None) -> tuple[int, np.ndarray]:
-    """Samples in [-1, 1]: the first channel or the mean of all; resampled linearly where `rate` is given."""
+    """Samples in [-1, 1]: the first channel or the mean of all; resampled within the band where `rate` is given."""
     with wave.open(io.BytesIO(raw)) as w:
         width, channels, own, frames = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
     kinds = {1: np.uint8, 2: np.dtype("<i2"), 4: np.dtype("<i4")}
@@ -29,17 +31,20 @@ def decode(raw: bytes, mean: bool, rate: int | None) -> tuple[int, np.ndarray]:
     x = x.reshape(-1, channels)
     x = x.mean(1) if mean else x[:, 0]
     if rate and rate != own and len(x):
-        n = round(len(x) * rate / own)
-        x = np.interp(np.arange(n) * own / rate, np.arange(len(x)), x).astype(np.float32)
+        x = resample(x.astype(np.float64), own, rate).astype(np.float32)
         own = rate
     return own, x
 
 
 def scan_wav(spark: SparkSession, *folders: str, mean: bool = False, rate: int | None = None, pattern: str | None = None) -> DataFrame:
-    """All *.wav files under the folders, decoded on the executors.
+    """All *.wav files under the folders, and files named themselves, decoded on the executors.
 
-    Unreadable files stay as rows with a problem and no samples. pattern: a regular expression for names.
+    Places that are not there are left out with a warning. Unreadable files stay as rows with a problem and no
+    samples. pattern: a regular expression for names, such as ORIGINAL.
     """
+    folders = tuple(present(spark, {f: f for f in folders}).values())
+    if not folders:
+        return spark.createDataFrame([], SCHEMA)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(list(folders))
     files = files.withColumn("name", F.element_at(F.split("path", "/"), -1))
     if pattern:

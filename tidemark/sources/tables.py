@@ -40,6 +40,24 @@ def targets(hops: DataFrame, length: int = 2) -> DataFrame:
     return hops.where(F.col("kind") == "positive").select("stream_id", F.col("event_id").alias("clip_no"), F.col("hop").alias("start"), (F.col("hop") + length).alias("end"))
 
 
+def streams(hops: DataFrame, voice: float = 0.1) -> DataFrame:
+    """stream_id, kind, hours of all streams: a stream is of its first hop's kind, hops that score `voice` or more are voiced."""
+    rows = hops.groupBy("stream_id").agg(F.min_by("kind", "hop").alias("kind"), F.count_if(F.col("score") >= voice).alias("voiced"))
+    return rows.select("stream_id", "kind", (F.col("voiced") * HOP_SECONDS / 3600).alias("hours"))
+
+
+def stream_clips(hops: DataFrame, streams: DataFrame, length: int = 2) -> DataFrame:
+    """stream_id, clip_no, start, end in hops: in every stream the events of its own kind, each `length` hops more."""
+    own = hops.withColumnRenamed("kind", "event_kind").join(streams.select("stream_id", "kind"), "stream_id").where("event_kind = kind")
+    return own.select("stream_id", F.col("event_id").alias("clip_no"), F.col("hop").alias("start"), (F.col("hop") + length).alias("end"))
+
+
+def chunks(hops: DataFrame, column: str = "value", size: int = 7) -> DataFrame:
+    """stream_id, seq, samples: a stream's values, so many at a time, as a device would send them."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("hop", F.col(column).cast("double").alias("x")))), lambda r: r["x"])
+    return hops.groupBy("stream_id", F.floor(F.col("hop") / size).alias("seq")).agg(rows.alias("samples"))
+
+
 def share(key: Column, purpose: str, seed: int = 7) -> Column:
     """A number in [0, 1) that depends on seed, purpose and key alone: the same in every engine with md5."""
     return F.conv(F.substring(order_key(key, purpose, seed), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))

@@ -15,12 +15,15 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = T.StructType([T.StructField("stream_id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("hop", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("verifier_score", T.DoubleType())])
-STATE = T.StructType([T.StructField("seen", T.LongType()), T.StructField("names", T.ArrayType(T.StringType())), T.StructField("runs", T.ArrayType(T.LongType())), T.StructField("last", T.ArrayType(T.LongType())), T.StructField("voiced", T.ArrayType(T.BooleanType())), T.StructField("rejected", T.LongType())])
+STATE = T.StructType([T.StructField("seen", T.LongType()), T.StructField("names", T.ArrayType(T.StringType())), T.StructField("runs", T.ArrayType(T.LongType())), T.StructField("last", T.ArrayType(T.LongType())), T.StructField("voiced", T.ArrayType(T.BooleanType())), T.StructField("rejected", T.LongType()), T.StructField("paused", T.BooleanType())])
 
 
 @dataclass(frozen=True)
 class Policy:
-    """threshold and run length of a trigger, hops between detections, gate window and need, verifier threshold."""
+    """threshold and run length of a trigger, hops between detections, gate window and need, verifier threshold.
+
+    pause: after a detection nothing is looked at, and all that was heard is forgotten, until a hop says resume.
+    """
 
     threshold: float = 0.5
     consecutive: int = 1
@@ -30,6 +33,7 @@ class Policy:
     gate_window: int = 0
     gate_needed: int = 0
     verifier: float | None = None
+    pause: bool = False
 
 
 class Detector:
@@ -40,11 +44,15 @@ class Detector:
         self.runs: dict[str, int] = {}
         self.last: dict[str, int] = {}
         self.voiced: list[bool] = []
+        self.paused = False
 
-    def hop(self, hop: int, scores: list[tuple[str, float, float | None]], speech: bool = True) -> tuple[str, int, float, float | None] | None:
+    def hop(self, hop: int, scores: list[tuple[str, float, float | None]], speech: bool = True, resume: bool = False) -> tuple[str, int, float, float | None] | None:
         """One detection at most for a hop; scores: name, score, verifier score."""
         p = self.policy
         self.seen = hop
+        self.paused = self.paused and not resume
+        if self.paused:
+            return None
         if p.gate_window:
             self.voiced = [*self.voiced, speech][-p.gate_window :]
             if sum(self.voiced) < p.gate_needed:
@@ -62,25 +70,28 @@ class Detector:
                 continue
             self.last[timer] = hop
             found = (name, hop, score, second)
-        if found and p.reset_run:
+        if found and (p.reset_run or p.pause):
             self.runs = dict.fromkeys(self.runs, 0)
+        if found and p.pause:
+            self.paused, self.voiced = True, []
         return found
 
     def state(self) -> tuple:
         names = sorted({*self.runs, *self.last})
-        return (self.seen, names, [self.runs.get(n, -1) for n in names], [self.last.get(n, -1) for n in names], self.voiced, self.rejected)
+        return (self.seen, names, [self.runs.get(n, -1) for n in names], [self.last.get(n, -1) for n in names], self.voiced, self.rejected, self.paused)
 
     @classmethod
     def restored(cls, policy: Policy, state: tuple) -> Detector:
         d = cls(policy)
         d.seen, names, runs, last, voiced, d.rejected = state[0], state[1], state[2], state[3], list(state[4]), state[5]
+        d.paused = bool(state[6])
         d.runs = {n: int(r) for n, r in zip(names, runs) if r >= 0}
         d.last = {n: int(x) for n, x in zip(names, last) if x >= 0}
         return d
 
 
 def detect(rows: DataFrame, policy: Policy) -> DataFrame:
-    """Detections of a stream of stream_id, hop, name, score and, if used, verifier_score and speech."""
+    """Detections of a stream of stream_id, hop, name, score and, if used, verifier_score, speech and resume."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         d = Detector.restored(policy, state.get) if state.exists else Detector(policy)
@@ -92,29 +103,11 @@ def detect(rows: DataFrame, policy: Policy) -> DataFrame:
             second = part["verifier_score"] if "verifier_score" in part else [None] * len(part)
             speech = bool(part["speech"].iloc[0]) if "speech" in part else True
             scores = [(n, float("nan") if s is None else float(s), None if v is None or v != v else float(v)) for n, s, v in zip(part["name"], part["score"], second)]
-            if found := d.hop(int(hop), scores, speech):
+            resume = bool(part["resume"].iloc[0]) if "resume" in part else False
+            if found := d.hop(int(hop), scores, speech, resume):
                 out.append((key[0], *found))
         state.update(d.state())
-        yield pd.DataFrame(out, columns=OUT.names).astype({"stream_id": "int64", "hop": "int64", "score": "float64", "verifier_score": "float64"})
+        if out:
+            yield pd.DataFrame(out, columns=OUT.names).astype({"stream_id": "int64", "hop": "int64", "score": "float64", "verifier_score": "float64"})
 
     return rows.groupBy("stream_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-class HopCutter:
-    """Chunks of any size to hops of a fixed number of samples, with what is left over carried on; `reset` forgets."""
-
-    def __init__(self, samples: int = 1280, warm_up: int = 25):
-        self.samples, self.warm_up = samples, warm_up
-        self.reset()
-
-    def reset(self) -> None:
-        self.rest: list[float] = []
-        self.count = 0
-
-    def feed(self, chunk: list) -> Iterator[tuple[int, list, bool]]:
-        """hop number, its samples, and whether the first window is full."""
-        self.rest.extend(chunk)
-        while len(self.rest) >= self.samples:
-            hop, self.rest = self.rest[: self.samples], self.rest[self.samples :]
-            self.count += 1
-            yield self.count - 1, hop, self.count >= self.warm_up
