@@ -53,3 +53,28 @@ def test_rows_of_all_kinds(spark):
     digests = bpe.round_trip_digests(df, tokenizer_path()).collect()
     assert digests[2].ids_sha256 == hashlib.sha256(" ".join(map(str, got[2].ids)).encode()).hexdigest()
     assert bpe.round_trip_digests(df.limit(0), tokenizer_path()).count() == 0
+
+
+def test_words_shared_by_chunks_and_a_small_cache(monkeypatch):
+    """Chunks with marks, capitals and digits at their ends, with a cache that long texts drive them out of."""
+    import random
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import bpe
+    from tidemark.llm.queries import tokenizer_path
+
+    rng = random.Random(5)
+    stems = ["word", "Élan", "straße", "don't", "e\u0301t", "x1", "...", "naïve", "ΣΑΣ", "\u0301a", "日本", "a" * 90]
+    chunk = lambda: rng.choice(["", "(", '"']) + rng.choice(stems) + rng.choice("abcdef") * rng.randrange(3) + rng.choice(["", ",", ".", "1", "!?", "\u0301", "'s"])
+    texts = [" ".join(chunk() for _ in range(rng.randrange(60))) for _ in range(60)] + [" ".join(chunk() + str(i) for i in range(9000))] + [None, "", " <|endoftext|> a"]
+    texts += texts[:20]
+    library = Tokenizer.from_file(tokenizer_path())
+    library.no_truncation(), library.no_padding()
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(bpe, "CACHED", 50)
+    t = bpe.Transducer(tokenizer_path())
+    for _ in range(2):
+        got = [np.frombuffer(b"".join(blocks), "<u4").tolist() for blocks in bpe.encoded(t, texts)]
+        assert got == want

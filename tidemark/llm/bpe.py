@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -126,55 +127,13 @@ class Transducer:
                 ranks[i - 1] = get((ids[i - 1] << 20) | token, none)
         return ids
 
-    def fill(self, chunks: set[str]) -> None:
-        """Bring every chunk into the cache: two generations of bounded size, the misses merged together."""
-        if len(self.young) > CACHED:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = chunks.difference(young)
-        if old and (back := missing.intersection(old)):
-            young.update((c, old[c]) for c in back)
-            missing -= back
-        if not missing:
-            return
-        if not self.drops_space:  # chunks are pre-tokens in normal form
-            listed = list(missing)
-            young.update(zip(listed, self.merge_all(listed)))
-            return
-        # words that chunks share (word, word. Word) are merged once; a chunk of letters only is its own word
-        find, normal, known = self.pattern.findall, self.normal, young.get
-        wanted: dict[str, bytes | None] = {}
-        mixed: list[tuple[str, list[str]]] = []
-        for c in missing:
-            n = normal(c)
-            if n.isalpha():
-                if n == c:
-                    wanted[c] = None
-                elif (got := known(n)) is not None:
-                    young[c] = got
-                else:
-                    wanted[n] = None
-                    mixed.append((c, [n]))
-            else:
-                words = find(n)
-                mixed.append((c, words))
-                for w in words:
-                    if w not in young:
-                        wanted[w] = None
-        ids = dict(zip(wanted, self.merge_all(list(wanted))))
-        young.update(ids)
-        for c, words in mixed:
-            young[c] = b"".join([young[w] for w in words]) if len(words) != 1 else young[words[0]]
-
     def merge_all(self, words: list[str]) -> list[bytes]:
         """Packed ids of many pre-tokens: the merges of all words of similar length run side by side."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         out: list[bytes] = [b""] * len(raw)
-        by: dict[int, list[int]] = {}
-        for i, r in enumerate(raw):
-            n = len(r)
-            by.setdefault(8 if n <= 8 else 16 if n <= 16 else 32 if n <= 32 else 64 if n <= 64 else 0, []).append(i)
-        for i in by.pop(0, ()):
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        by = {w: np.flatnonzero((sizes <= w) & (sizes > low)).tolist() for low, w in ((0, 8), (8, 16), (16, 32), (32, 64))}
+        for i in np.flatnonzero(sizes > 64).tolist():
             if len(raw[i]) > self.window:
                 out[i] = np.fromiter(self.stream([words[i]], True), "<u4").tobytes()
             else:
@@ -193,11 +152,12 @@ class Transducer:
     def side_by_side(self, raw: list[bytes], width: int) -> list[bytes]:
         n = len(raw)
         size = np.fromiter(map(len, raw), np.int64, n)
-        grid = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raw), np.uint8).reshape(n, width)
-        ids = self.inner_table[grid]
         every = np.arange(n)
-        ids[every, size - 1] = self.final_table[grid[every, size - 1]]
         live = np.arange(width) < size[:, None]
+        grid = np.zeros((n, width), np.uint8)
+        grid[live] = np.frombuffer(b"".join(raw), np.uint8)
+        ids = self.inner_table[grid]
+        ids[every, size - 1] = self.final_table[grid[every, size - 1]]
         after = np.tile(np.arange(1, width + 1), (n, 1))
         before = np.tile(np.arange(-1, width - 1), (n, 1))
         rank = np.full((n, width), NONE, np.int64)
@@ -315,15 +275,61 @@ class Transducer:
             at = m.end()
         yield from self.plain((text or "")[at:])
 
-    def warm(self, texts: list[str | None]) -> None:
-        """Merge the new words of many short texts together, ahead of `encode`."""
-        chunks: set[str] = set()
-        size = 0
-        for text in texts:
-            if text and len(text) <= BLOCK and not any(c in text for c in CONTROL):
-                chunks.update(text.split() if self.drops_space else self.pattern.findall(self.normal(text)))
-                size += len(text)
-        self.fill(chunks)
+    def plain_chunks(self, text: str | None) -> bool:
+        """Whether a text is short and nothing but chunks between white space."""
+        return bool(text) and self.drops_space and len(text) <= BLOCK and not any(c in text for c in CONTROL) and not (self.special and any(x in text for x in self.added))
+
+    def together(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts that are nothing but chunks between white space.
+
+        Chunks are numbered over all texts, each different one is taken apart into words once, each different word
+        looked up or merged once; the ids of the texts are then gathered by number.
+        """
+        try:
+            parts = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        except (pa.ArrowInvalid, UnicodeEncodeError):  # a lone surrogate
+            parts = pa.array([[c.encode("utf-8", "surrogatepass") for c in x.split()] for x in texts], pa.list_(pa.binary()))
+        numbered = parts.flatten().dictionary_encode()
+        listed = [x.decode("utf-8", "surrogatepass") for x in numbered.dictionary.cast(pa.binary()).to_pylist()]
+        # nothing composes across a line break, and no chunk has one: all are brought into normal form at once
+        normals = self.normal("\n".join(listed)).split("\n")
+        alone = np.fromiter(map(str.isalpha, normals), bool, len(normals))
+        counts, mixed, find = alone.astype(np.int64), [], self.pattern.findall
+        for i in np.flatnonzero(~alone).tolist():
+            n = normals[i]
+            words = [n[:-1], n[-1]] if n[:-1].isalpha() else find(n)
+            counts[i] = len(words)
+            mixed += words
+        of_mixed = np.repeat(~alone, counts)
+        different: dict[str, int] = {}
+        number = different.setdefault
+        word = np.empty(len(of_mixed), np.int64)
+        word[~of_mixed] = [number(n, len(different)) for n, a in zip(normals, alone.tolist()) if a]
+        word[of_mixed] = [number(w, len(different)) for w in mixed]
+        packed = self.of_words(list(different))
+        flat, sizes = gathered(np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4, word)
+        ends, after = np.concatenate(([0], np.cumsum(sizes))), np.cumsum(counts)
+        flat, sizes = gathered(flat, ends[after] - ends[after - counts], numbered.indices.to_numpy())
+        at = (np.concatenate(([0], np.cumsum(sizes)))[parts.offsets.to_numpy()] * 4).tolist()
+        raw = flat.tobytes()
+        return [raw[x:y] for x, y in zip(at, at[1:])]
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of different words: from a cache of two generations of bounded size, the others merged together."""
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        out = list(map(young.get, words))
+        missing = []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            if (known := old.get(words[i])) is not None:
+                out[i] = young[words[i]] = known
+            else:
+                missing.append(i)
+        new = [words[i] for i in missing]
+        for i, w, x in zip(missing, new, self.merge_all(new)):
+            out[i] = young[w] = x
+        return out
 
     def plain(self, text: str) -> Iterator[bytes]:
         if not text:
@@ -389,15 +395,8 @@ class Transducer:
 
     def whole(self, text: str) -> bytes:
         """Ids of a text that is cut where no pre-token crosses."""
-        if any(c in text for c in CONTROL):
-            return self.known(self.normal(text))
-        if self.drops_space:
-            chunks = text.split()
-            try:
-                return b"".join(map(self.young.__getitem__, chunks))
-            except KeyError:
-                self.fill(set(chunks))
-            return b"".join(map(self.young.__getitem__, chunks))
+        if self.drops_space and not any(c in text for c in CONTROL):
+            return self.together([text])[0]
         return self.known(self.normal(text))
 
     def known(self, normal: str) -> bytes:
@@ -406,15 +405,21 @@ class Transducer:
 
     def words(self, words: list[str]) -> bytes:
         """Ids of pre-tokens in normal form."""
-        if self.drops_space:
-            return b"".join(self.merge_all(words))
-        self.fill(set(words))
-        return b"".join(map(self.young.__getitem__, words))
+        different = list(dict.fromkeys(words))
+        ids = dict(zip(different, self.of_words(different)))
+        return b"".join(map(ids.__getitem__, words))
 
     def decoder(self) -> Decoder:
         return Decoder(self)
 
 
+def gathered(flat: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of `flat`, of these sizes one after another, in the order of `numbers`; their sizes."""
+    starts, wanted = np.cumsum(sizes) - sizes, sizes[numbers]
+    ends = np.cumsum(wanted)
+    return flat[np.repeat(starts[numbers] - ends + wanted, wanted) + np.arange(ends[-1] if len(ends) else 0)], wanted
+
+
 class Decoder:
     """Ids to text, in any split: `feed` gives what is settled, `close` the rest."""
 
@@ -478,9 +483,11 @@ def groups(texts: list, chars: int = 1 << 21) -> Iterator[tuple[int, int]]:
 def encoded(t: Transducer, texts: list) -> Iterator[Iterator[bytes]]:
     """For each text its blocks of packed ids."""
     for begin, end in groups(texts):
-        t.warm(texts[begin:end])
-        for text in texts[begin:end]:
-            yield t.encode(text)
+        some = texts[begin:end]
+        easy = [t.plain_chunks(text) for text in some]
+        packed = iter(t.together([text for text, e in zip(some, easy) if e]))
+        for text, e in zip(some, easy):
+            yield iter((next(packed),)) if e else t.encode(text)
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", special_in_text: bool = True) -> DataFrame:
