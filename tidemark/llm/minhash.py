@@ -350,8 +350,8 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with the key of their words in a column `key`."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("key", T.BinaryType())])
+    """The rows with the key of their words in a column `__key`."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
@@ -372,8 +372,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     if again.isEmpty():
         return left
     # Rows whose id does not tell them apart are taken by the key of their words.
-    some = docs.join(again.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    kept = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.key").alias("first_key"))
+    some = docs.join(again.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    kept = first.select(F.col("first.doc_id").alias("__first_id"), F.col("first.key").alias("__first_key"))
     some = keyed(some)
-    some = some.join(kept, (F.col("key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return left.unionByName(some.dropDuplicates(["key"]).select(*docs.columns))
+    some = some.join(kept, (F.col("__key") == F.col("__first_key")) & F.col("doc_id").eqNullSafe(F.col("__first_id")), "left_semi")
+    return left.unionByName(some.dropDuplicates(["__key"]).select(*docs.columns))
