@@ -17,8 +17,8 @@ from tidemark.functions import signal
 BATCH = 1024
 
 
-def score_with(rows: DataFrame, column: str, load: Callable[[], Callable[[np.ndarray], np.ndarray]], out: str = "score") -> DataFrame:
-    """Add `out` by a model that is loaded once a task and called with (n, …) arrays of equal rows.
+def score_with(rows: DataFrame, column: str, load: Callable[[], Callable[[np.ndarray], np.ndarray]], out: str = "score", dtype: type = np.float32) -> DataFrame:
+    """Add `out` by a model that is loaded once a task and called with (n, …) arrays of equal rows, of the type it takes.
 
     Rows whose array is null get null. A column `out` is replaced.
     """
@@ -33,7 +33,7 @@ def score_with(rows: DataFrame, column: str, load: Callable[[], Callable[[np.nda
             good = [i for i, v in enumerate(values) if v is not None]
             for at in range(0, len(good), BATCH):
                 some = good[at : at + BATCH]
-                for i, s in zip(some, np.asarray(predict(np.array([values[i] for i in some], np.float32))).reshape(-1)):
+                for i, s in zip(some, np.asarray(predict(np.array([values[i] for i in some], dtype))).reshape(-1)):
                     scores[i] = float(s)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
 

@@ -228,5 +228,5 @@ ORACLES = {
     "q54_verified_stream": f"""WITH RECURSIVE {HOPS}, g AS (SELECT *, sum(CASE WHEN kind <> 'near_miss' THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY hop ROWS 4 PRECEDING) >= 4 AS opened, (event_id * 7919 % 1000) / 1000.0::DOUBLE AS second FROM hops),
  cand AS (SELECT stream_id, hop FROM g WHERE opened AND second >= 0.4::DOUBLE AND score >= 0.5::DOUBLE), {fires('cand')} SELECT g.stream_id, g.hop, round(score, 6) AS score, second AS verifier_score FROM g JOIN fires f ON f.stream_id = g.stream_id AND f.hop = g.hop""",
     "q55_window_scorer": f"""WITH {STREAM}, s AS (SELECT stream_id, hop, {weighted('emb')} AS x FROM stream), w AS (SELECT stream_id, hop, avg(x) OVER v AS score, count(*) OVER v AS n FROM s WINDOW v AS (PARTITION BY stream_id ORDER BY hop ROWS 15 PRECEDING))
- SELECT stream_id, hop, round(score, 4) AS score FROM w WHERE n = 16""",
+ SELECT stream_id, hop, round(score, 6) AS score FROM w WHERE n = 16""",
 }

@@ -436,8 +436,9 @@ def q54_verified_stream(spark, d):
 def q55_window_scorer(spark, d):
     """Every window of 16 steps scored by a model that is loaded once a task."""
     weights = [(i + 1) / 64 for i in range(64)]
-    load = lambda: lambda x: (x.astype("float64") @ weights).mean(1)
-    return _rounded(scoring.score_with(windows.stride_windows(stream(spark, d), "emb"), "window", load).select("stream_id", "hop", "score"), "score").withColumn("score", F.round("score", 4))
+    load = lambda: lambda x: (x @ weights).mean(1)
+    scored = scoring.score_with(windows.stride_windows(stream(spark, d), "emb"), "window", load, dtype=float)
+    return _rounded(scored.select("stream_id", "hop", "score"), "score")
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
