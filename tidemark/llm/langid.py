@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import map_rows, materialise
+from tidemark.llm.common import lean, map_rows, materialise
 
 #: n-grams of a profile; training documents of each language, about, at most; characters counted at a time.
 PROFILE, TRAIN_DOCS, BLOCK = 400, 1000, 1 << 20
@@ -185,7 +185,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], shared: bool = Fals
             new = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_())[: len(added)])]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *new], names=[*kept, *(f.name for f in added)])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def held_out() -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import discard, map_rows, materialise
+from tidemark.llm.common import discard, lean, map_rows, materialise
 
 #: Words of a shingle, similarity of a link, signature length, bands and rows of the banding.
 WIDTH, THRESHOLD, LENGTH, BANDS, ROWS = 5, 0.8, 256, 36, 7
@@ -200,7 +200,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> Data
             many = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(list(map(len, grams)), pa.int32()), pa.array([c is not None for c in counts], pa.bool_()), pa.array(grams, many), pa.array(counts, many)], names=schema.names)
 
-    return rows.mapInArrow(run, schema).dropDuplicates(["node"])
+    return rows.mapInArrow(lean(run), schema).dropDuplicates(["node"])
 
 
 def apart(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
@@ -241,7 +241,7 @@ def verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
                     good.append(i)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    return plain.unionByName(some.mapInArrow(run, "a long, b long")).distinct()
+    return plain.unionByName(some.mapInArrow(lean(run), "a long, b long")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -358,7 +358,7 @@ def keyed(docs: DataFrame) -> DataFrame:
             keys = [node_key(words_of(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.bpe import encoded, transducer
+from tidemark.llm.common import lean
 
 #: Tokens of a sequence, bins open at a time, the id that ends a document.
 CAPACITY, OPEN_BINS, END_ID = 4096, 256, 1
@@ -98,7 +99,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             columns = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.list_(pa.int32()))] if ids else [])], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def pack(lengths: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, seed: int = 17) -> DataFrame:

@@ -38,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tidemark.llm.common import lean
+
 #: Rounds of the network, and the public key of tests and demonstrations: pseudonyms under it hide nothing.
 ROUNDS, DEMO_KEY = 10, b"public demonstration key"
 DIGITS, LOWER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
@@ -357,4 +359,4 @@ def pseudonymise(docs: DataFrame, key: bytes, reverse: bool = False) -> DataFram
             arrays = [pa.array([t for t, _ in done], pa.string()) if n == "text" else batch.column(n) for n in columns]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([n for _, n in done], pa.int32())], names=[*columns, "n_replaced"])
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(lean(run), schema)
