@@ -35,6 +35,39 @@ def test_state_survives_any_split():
     assert out == whole
 
 
+def test_gate_survives_any_split():
+    p, speech = Policy(0.5, 1, 1, gate_window=5, gate_needed=4, verifier=0.4), [h % 7 not in (2, 5) for h in range(40)]
+    second = [0.9 if h % 3 else 0.1 for h in range(40)]
+    whole, end = fires(p, [0.9] * 40, second, speech)
+    assert whole
+    for every in (1, 2, 3, 5):
+        d, out = Detector(p), []
+        for i in range(40):
+            if i % every == 0:
+                kept = d.state()
+                d = Detector.restored(p, kept)
+                assert d.state() == kept
+            out += [f[1] for f in [d.hop(i, [("m", 0.9, second[i])], speech[i])] if f]
+        assert (out, d.state()) == (whole, end.state())
+
+
+def test_verified_stream_in_many_triggers(spark, tmp_path):
+    from tidemark.streaming import feeds
+    from tidemark.streaming.detector import detect
+
+    p = Policy(0.5, 1, 3, gate_window=5, gate_needed=4, verifier=0.4)
+    rows = [(s, h, "m", 0.9, 0.9 if (h + s) % 3 else 0.1, (h + s) % 6 != 2) for s in range(5) for h in range(40)]
+    df = spark.createDataFrame(rows, "stream_id long, hop long, name string, score double, verifier_score double, speech boolean")
+    want = []
+    for s in range(5):
+        d = Detector(p)
+        want += [(s, h) for i, h, n, x, v, speech in rows if i == s and d.hop(h, [(n, x, v)], speech)]
+    feeds.dropped(df.coalesce(1), str(tmp_path / "in"), "hop")
+    # one file a trigger: the state is left and taken up again between drops
+    found = feeds.run_through(detect(feeds.folder_stream(spark, str(tmp_path / "in"), df.schema, 1), p))
+    assert sorted((r.stream_id, r.hop) for r in found.collect()) == want
+
+
 def test_pause_until_resumed():
     d = Detector(Policy(0.5, 1, 1, pause=True))
     got = []

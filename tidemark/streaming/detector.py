@@ -83,7 +83,7 @@ class Detector:
     @classmethod
     def restored(cls, policy: Policy, state: tuple) -> Detector:
         d = cls(policy)
-        d.seen, names, runs, last, voiced, d.rejected = state[0], state[1], state[2], state[3], list(state[4]), state[5]
+        d.seen, names, runs, last, d.voiced, d.rejected = state[0], state[1], state[2], state[3], list(state[4]), state[5]
         d.paused = bool(state[6])
         d.runs = {n: int(r) for n, r in zip(names, runs) if r >= 0}
         d.last = {n: int(x) for n, x in zip(names, last) if x >= 0}
